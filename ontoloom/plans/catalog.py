@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import data
+
+MODULES: list = [data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
