@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import neardup, pairs
+from . import neardup, pairs, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +25,25 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "claims"), "claim_key", neardup.text_of("claim", "source_quote"), 0.7)
 
 
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.quotes(table(spark, sf_dir, "claims"), table(spark, sf_dir, "norm_tuples"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(_quotes(spark, sf_dir))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_shares(_quotes(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_defect_counts": p1_defect_counts,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p5_found": p5_found,
+    "p5_shares": p5_shares,
 }
 
 SQL: dict[str, str] = {}
