@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import neardup, pairs, truncation
+from . import encode, lookalike, neardup, pairs, truncation
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,22 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_shares(_quotes(spark, sf_dir))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.decoded(encode.token_ids(table(spark, sf_dir, "documents")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_look(table(spark, sf_dir, "documents"))
+
+
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_defect_counts": p1_defect_counts,
@@ -44,6 +60,13 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p5_found": p5_found,
     "p5_shares": p5_shares,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p9_found": p9_found,
+    "p9_forms": p9_forms,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # Decoding the ids must give the text back; null texts come back empty.
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
