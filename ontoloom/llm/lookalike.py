@@ -50,7 +50,7 @@ def _plain() -> dict[int, str | None]:
         tag = unicodedata.decomposition(c).split(" ")[0]
         if tag in ("<wide>", "<narrow>", "<noBreak>") or tag == "<compat>" and (0xFB00 <= code <= 0xFB06 or 0x2160 <= code <= 0x217F or 0x1C4 <= code <= 0x1CC):
             table[code] = unicodedata.normalize("NFKC", c)
-        if unicodedata.category(c) == "Zs":
+        if unicodedata.category(c) == "Zs" and c != " ":
             table[code] = " "
     for part in INVISIBLE.split():
         low, _, high = part.partition("-")
@@ -61,6 +61,7 @@ def _plain() -> dict[int, str | None]:
 PLAIN = _plain()
 TO_LATIN = {ord(a): b for letters, latin in LOOKALIKES.values() for a, b in zip(letters, latin)}
 FROM_LATIN = {script: {b: a for a, b in zip(*pair)} for script, pair in LOOKALIKES.items() if script in ("Cyrillic", "Greek")}
+PLAIN_CHARS, ALIKE_CHARS = frozenset(map(chr, PLAIN)), frozenset(map(chr, TO_LATIN))
 ANY_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(PLAIN)) + "]+")
 ANY_ALIKE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(TO_LATIN)) + "]+")
 LATIN = re.compile("[A-Za-z]")
@@ -76,8 +77,11 @@ def skeleton(text: str) -> str:
     if text.isascii():
         plain = ASCII_CONTROL.sub("", text)
     else:
-        plain = unicodedata.normalize("NFD", ANY_PLAIN.sub(lambda m: m[0].translate(PLAIN), text))
-        plain = ANY_ALIKE.sub(lambda m: m[0].translate(TO_LATIN), plain)
+        if not PLAIN_CHARS.isdisjoint(text):
+            text = ANY_PLAIN.sub(lambda m: m[0].translate(PLAIN), text)
+        plain = unicodedata.normalize("NFD", text)
+        if not ALIKE_CHARS.isdisjoint(plain):
+            plain = ANY_ALIKE.sub(lambda m: m[0].translate(TO_LATIN), plain)
     return plain.replace("\r\n", "\n")
 
 
