@@ -87,7 +87,7 @@ def _flat(words: list[str], ids: list) -> tuple[dict[str, int], np.ndarray, np.n
     return {w: k for k, w in enumerate(words)}, np.concatenate(([0], np.cumsum(lens))), flat
 
 
-def _lookup(table: object) -> object:
+def _lookup(table: object, keep: tuple[str, ...] = ()) -> object:
     """Texts as words to (doc_id, ids, unknown): a word that the table lacks
     leaves -1 in its place and is given, in order, in ``unknown``."""
 
@@ -113,6 +113,7 @@ def _lookup(table: object) -> object:
                     "doc_id": batch.column("doc_id"),
                     "ids": pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(ids, pa.int32())),
                     "unknown": pa.ListArray.from_arrays(pa.array(missing.astype(np.int32)), unknown.cast(pa.string())),
+                    **{c: batch.column(c) for c in keep},
                 }
             )
 
@@ -129,25 +130,27 @@ def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             words = iter([f["ids"] for f in sorted(found, key=lambda f: f["pos"])])
             out.append([i for one in ids for i in (next(words) if one == -1 else (one,))])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": out})
+        yield batch.drop(columns=["ids", "found"]).assign(ids=out)
 
 
-def token_ids(documents: DataFrame, head: int = 200_000, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids) of ``documents(doc_id, text)``, one row a document."""
+def token_ids(documents: DataFrame, head: int = 200_000, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids) of ``documents(doc_id, text)``, one row a document, with the
+    string columns ``keep`` carried along."""
     spark: SparkSession = documents.sparkSession
     path = vocabulary or f"{vocabulary_folder()}/{VOCABULARY}"
-    texts = documents.select("doc_id", "text")
+    texts = documents.select("doc_id", "text", *keep)
     counts = word_counts(texts)
     top = encode_words(counts.orderBy(F.desc("n"), "word").limit(head), path).toPandas()
     table = spark.sparkContext.broadcast(_flat(top["word"].tolist(), top["ids"].tolist()))
-    split = texts.select("doc_id", F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    coded = split.mapInArrow(_lookup(table), "doc_id BIGINT, ids ARRAY<INT>, unknown ARRAY<STRING>")
+    kept = "".join(f", {c} STRING" for c in keep)
+    split = texts.select("doc_id", *keep, F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    coded = split.mapInArrow(_lookup(table, keep), "doc_id BIGINT, ids ARRAY<INT>, unknown ARRAY<STRING>" + kept)
     if len(top) < head:
-        return coded.select("doc_id", "ids")
+        return coded.select("doc_id", "ids", *keep)
     rare = coded.select("doc_id", F.posexplode("unknown").alias("pos", "word"))
     tail = encode_words(rare.select("word").distinct(), path)
     found = rare.join(tail, "word").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
-    return coded.join(found, "doc_id", "left").select("doc_id", "ids", "found").mapInPandas(_fill, "doc_id BIGINT, ids ARRAY<INT>")
+    return coded.join(found, "doc_id", "left").select("doc_id", "ids", "found", *keep).mapInPandas(_fill, "doc_id BIGINT, ids ARRAY<INT>" + kept)
 
 
 # ---------------------------------------------------------------- decoding
