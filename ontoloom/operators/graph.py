@@ -33,3 +33,78 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return nodes.unionAll(roots).groupBy("node").agg(F.min("component").alias("component"))
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+
+
+def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, ancestor, depth): HIER-1, the irreflexive transitive closure of
+    ``edges(child, parent)`` with the least depth. By squaring, so the rounds grow
+    with the logarithm of the depth; exact on cycles. Null ends are no edges."""
+    clean = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
+    reach = written(clean.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    size = reach.agg(F.count("*"), F.sum("depth")).first()
+    for _ in range(max_rounds):
+        onward = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        steps = reach.join(onward, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        reach = written(reach.unionAll(steps).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        after = reach.agg(F.count("*"), F.sum("depth")).first()
+        if after == size:
+            return reach
+        size = after
+    raise RuntimeError(f"closure: not settled after {max_rounds} rounds")
+
+
+def cyclic_nodes(reach: DataFrame) -> DataFrame:
+    """HIER-8: nodes that reach themselves."""
+    return reach.where(F.col("node") == F.col("ancestor")).select("node")
+
+
+def cycle_components(reach: DataFrame) -> DataFrame:
+    """(node, component): HIER-8, the smallest node of each cycle."""
+    back = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
+    return reach.select("node", "ancestor").join(back, ["node", "ancestor"]).groupBy("node").agg(F.min(F.least("node", "ancestor")).alias("component"))
+
+
+def redundant_parents(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """(child, parent): HIER-10, parents that another parent already implies."""
+    direct = edges.distinct()
+    other = direct.select("child", F.col("parent").alias("via"))
+    implied = reach.select(F.col("node").alias("via"), F.col("ancestor").alias("parent"))
+    return direct.join(other, "child").where(F.col("parent") != F.col("via")).join(implied, ["via", "parent"]).select("child", "parent").distinct()
+
+
+def multi_parents(edges: DataFrame) -> DataFrame:
+    """(child, parents): HIER-11."""
+    return edges.distinct().groupBy("child").agg(F.count("*").alias("parents")).where(F.col("parents") > 1)
+
+
+def unanchored(edges: DataFrame, reach: DataFrame, anchor: str) -> DataFrame:
+    """(node): HIER-12, nodes with no ancestor of the given prefix, themselves apart."""
+    nodes = edges.select(F.col("child").alias("node")).unionAll(edges.select("parent")).distinct()
+    held = reach.where(F.col("ancestor").startswith(anchor)).select("node").distinct()
+    return nodes.where(~F.col("node").startswith(anchor)).join(held, "node", "left_anti")
+
+
+def hubs(edges: DataFrame, more_than: int) -> DataFrame:
+    """(parent, fan_out): AGG-28."""
+    return edges.distinct().groupBy("parent").agg(F.count("*").alias("fan_out")).where(F.col("fan_out") > more_than)
+
+
+def nearest_anchor(reach: DataFrame, anchor: str) -> DataFrame:
+    """(node, anchor, depth): HIER-5, the nearest ancestor of the prefix; ties go to
+    the smaller name."""
+    held = reach.where(F.col("ancestor").startswith(anchor))
+    best = F.min(F.struct("depth", "ancestor"))
+    return held.groupBy("node").agg(best.alias("best")).select("node", F.col("best.ancestor").alias("anchor"), F.col("best.depth").alias("depth"))
+
+
+def reflexive(reach: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``reach`` and each of ``nodes(node)`` above itself at depth 0."""
+    return reach.unionAll(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+
+
+def straddles(reach: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """(node, a, b): JOIN-2, nodes under both members of a disjoint pair, a < b.
+    ``reach`` should be reflexive for a node that is itself a member."""
+    pairs = disjoint.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = reach.select("node", F.col("ancestor").alias("a")).join(pairs, "a")
+    return one.join(reach.select("node", F.col("ancestor").alias("b")), ["node", "b"]).select("node", "a", "b").distinct()

@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data
+from . import data, hierarchy
 
-MODULES: list = [data]
+MODULES: list = [hierarchy, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
