@@ -95,7 +95,7 @@ SQL: dict[str, str] = {
             CROSS JOIN (SELECT chunk_chars FROM chunk_limits WHERE subpart = '*') d
             WHERE c.chunk_id IS NOT NULL)
         SELECT chunk_id,
-            CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]'), x -> length(x))) > most
+            CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]'), lambda x: length(x))) > most
                 THEN 'forced' ELSE 'natural' END AS cut
         FROM sized WHERE length(text) > most""",
     # Decoding the ids must give the text back; null texts come back empty.
