@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, hierarchy
+from . import data, hierarchy, measuring
 
-MODULES: list = [hierarchy, data]
+MODULES: list = [hierarchy, measuring, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -98,7 +98,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(code, kind, weight, locus, subject, attribution, detail) from lineitem: flag
     and status give the code, the line number the locus, the part the subject."""
     code = F.concat(F.lit("K-"), F.col("l_returnflag"), F.when(F.col("l_linestatus") == "O", "1").otherwise("2"))
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").where("l_quantity >= 49 OR (l_returnflag = 'N' AND l_quantity >= 20)").select(
         code.alias("code"), F.when(F.col("l_returnflag") == "N", "coverage").otherwise("defect").alias("kind"),
         F.when(F.col("l_returnflag") == "A", 3.0).when(F.col("l_returnflag") == "R", 1.5).otherwise(0.0).alias("weight"),
         F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("locus"), F.col("l_partkey").alias("subject"),
