@@ -1,10 +1,10 @@
 """Mixing sources to target shares of the tokens.
 
 1. *Blocks.* Each distinct text of a listed source is encoded once and belongs to
-   the document with the smallest doc_id that has it. A source's texts are put in
-   a pseudorandom order and packed into blocks of ``block`` tokens (its last one
-   may be shorter). Offsets are prefix sums in two levels, over hash buckets and
-   within them, so that no task orders a whole source.
+   the document with the smallest doc_id that has it. A source's texts are
+   packed, as they are stored, into blocks of ``block`` tokens (its last one may
+   be shorter). Offsets are prefix sums in two levels, within the tasks that
+   encode and over these tasks, so that no task sees a whole source.
 2. *Slots.* The mix has as many block slots as the scarcest source allows when its
    blocks are repeated up to its cap. Each output shard draws its source counts:
    multinomial, given that the counts of all shards add up to the targets. A shard
@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small, written
 from .encode import token_ids
 
-BLOCK, SHARD, BUCKETS, SEED = 128, 512, 256, 41
+BLOCK, SHARD, SEED = 128, 512, 41
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -94,21 +96,35 @@ def encoded_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
     first = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     copies = written(named.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("first")).select("doc_id"))
     own = texts.join(small(copies, 1_000_000), "doc_id", "left_anti")
-    return written(token_ids(own, keep=("source",)))
+    return written(token_ids(own, keep=("source",)).mapInArrow(_offsets, "doc_id BIGINT, source STRING, ids ARRAY<INT>, part INT, inner BIGINT"))
+
+
+def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the task's number and each text's offset among its source's tokens
+    within the task: the first level of the prefix sums, made while texts pass."""
+    part, reached = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        lens = np.nan_to_num(batch.column("ids").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        coded = batch.column("source").dictionary_encode()
+        codes, inner = coded.indices.to_numpy(zero_copy_only=False), np.zeros(len(lens), dtype=np.int64)
+        for code, name in enumerate(coded.dictionary.to_pylist()):
+            at = codes == code
+            upto = np.cumsum(lens[at])
+            inner[at] = reached.get(name, 0) + upto - lens[at]
+            reached[name] = reached.get(name, 0) + int(upto[-1])
+        yield pa.record_batch(
+            {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "ids": batch.column("ids"), "part": pa.array(np.full(len(lens), part, dtype=np.int32)), "inner": pa.array(inner)}
+        )
 
 
 def packed(encoded: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, block, ids): the blocks of each source."""
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    sized = encoded.select("doc_id", "source", F.size("ids").alias("n"), order.alias("place"), F.pmod(order, F.lit(BUCKETS)).alias("bucket"))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("n").alias("sum"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    texts = encoded.select("doc_id", "source", "ids", order.alias("place"), F.pmod(order, F.lit(BUCKETS)).alias("bucket"))
-    placed = texts.withColumn("inner", F.coalesce(F.sum(F.size("ids")).over(within), F.lit(0))).join(small(sums, 100_000), ["source", "bucket"])
-    start = F.col("ahead") + F.col("inner")
-    parts = placed.where(F.size("ids") > 0).select("source", "ids", start.alias("start"))
+    """(source, block, ids): the blocks of each source. The second level of the
+    prefix sums has one row for each source and task."""
+    sums = encoded.groupBy("source", "part").agg(F.sum(F.size("ids")).alias("sum"))
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
+    placed = encoded.where(F.size("ids") > 0).join(small(sums, 1_000_000), ["source", "part"])
+    parts = placed.select("source", "ids", (F.col("ahead") + F.col("inner")).alias("start"))
     parts = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("ids") - 1) / block))))
     low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     high = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids"))
@@ -147,7 +163,7 @@ def mixed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     # One row for each listed source: the targets are a fixed table.
     stats, slots = plan(targets.where(F.col("source").isNotNull()).join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
     shards = -(-slots // SHARD)
-    drawn = spark.range(shards).repartition(max(1, min(shards, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
+    drawn = spark.range(shards).repartition(max(1, min(shards // 16 + 1, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
     mix = drawn.join(packed(encoded), ["source", "block"])
     return mix.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), encoded, stats
 
