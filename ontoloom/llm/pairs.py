@@ -397,5 +397,5 @@ def broken_pairs(session_log: DataFrame) -> DataFrame:
 def defect_counts(session_log: DataFrame) -> DataFrame:
     """Rows and share per defect type; sound pairs as ``sound``."""
     counts = judged_pairs(session_log).groupBy(F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("pairs"))
-    total = counts.agg(F.sum("pairs").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("defect", "pairs", F.round(F.col("pairs") / F.col("total"), 6).alias("share"))
+    total = counts.agg(F.sum("pairs")).scalar()
+    return counts.select("defect", "pairs", F.round(F.col("pairs") / total, 6).alias("share"))
