@@ -42,8 +42,8 @@ def debt(findings: DataFrame, population: DataFrame) -> DataFrame:
     translation never count, coverage codes never add, and a code that fires on
     more than half of the population is left out as saturated."""
     own = findings.where(F.col("attribution") != "translation").groupBy("code", "kind", "weight").agg(F.count("*").alias("findings"), F.count_distinct("subject").alias("subjects"))
-    size = population.agg(F.count("*").alias("population"))
-    rows = own.crossJoin(F.broadcast(size)).withColumn("rate", F.round(F.col("subjects") / F.greatest("population", F.lit(1)), 6))
+    size = population.agg(F.count("*")).scalar()
+    rows = own.withColumn("rate", F.round(F.col("subjects") / F.greatest(size, F.lit(1)), 6))
     saturated = F.col("rate") > SATURATED
     return rows.select("code", "findings", "rate", saturated.alias("saturated"), F.when(saturated | (F.col("kind") == "coverage"), 0.0).otherwise(F.round(F.col("weight") * F.col("findings"), 6)).alias("debt"))
 
@@ -91,12 +91,12 @@ def dispersion(bindings: DataFrame) -> DataFrame:
     """AGG-14: bound classes, mean, median and greatest multiplicity, share of
     classes at one locus, capture (the share of the fullest locus in percent)."""
     per_class = multiplicity(bindings)
-    fullest = bindings.groupBy("locus").agg(F.count_distinct("class").alias("n")).agg(F.max("n").alias("most"))
+    fullest = bindings.groupBy("locus").agg(F.count_distinct("class").alias("n")).agg(F.max("n")).scalar()
     stats = per_class.agg(
         F.count("*").alias("bound"), F.round(F.avg("loci"), 6).alias("mean_multiplicity"), F.percentile("loci", F.lit(0.5)).alias("median_multiplicity"),
         F.max("loci").alias("max_multiplicity"), F.round(F.count_if(F.col("loci") == 1) / F.greatest(F.count("*"), F.lit(1)), 6).alias("exclusivity"),
     )
-    return stats.crossJoin(fullest).withColumn("capture", F.round(100 * F.col("most") / F.greatest("bound", F.lit(1)), 6)).drop("most")
+    return stats.withColumn("capture", F.round(100 * fullest / F.greatest("bound", F.lit(1)), 6))
 
 
 def jaccards(bindings: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def jaccards(bindings: DataFrame) -> DataFrame:
 
 def gates(bindings: DataFrame) -> DataFrame:
     """AGG-15: (gate, value, bound, passed)."""
-    one = dispersion(bindings).crossJoin(jaccards(bindings).agg(F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("max_jaccard")))
+    most_alike = jaccards(bindings).agg(F.coalesce(F.max("jaccard"), F.lit(0.0))).scalar()
+    one = dispersion(bindings).withColumn("max_jaccard", most_alike)
     rows = []
     for name, (bound, sign) in GATES.items():
         value = F.col(name).cast("double")
@@ -140,9 +141,9 @@ def phase_stats(timings: DataFrame) -> DataFrame:
     """AGG-16: count, mean, p50, p95, sum and share by phase. The share is of the
     phase ``total``, or of all phases where there is none."""
     basic = timings.groupBy("phase").agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.round(F.sum("ms"), 4).alias("sum"))
-    whole = basic.agg(F.coalesce(F.max(F.when((F.col("phase") == "total") & (F.col("sum") > 0), F.col("sum"))), F.sum("sum")).alias("whole"))
-    rows = basic.join(percentiles(timings, 50, 95), "phase").crossJoin(F.broadcast(whole))
-    return rows.select("phase", "n", "mean", "p50", "p95", "sum", F.round(F.col("sum") / F.nullif("whole", F.lit(0.0)), 6).alias("share"))
+    whole = basic.agg(F.coalesce(F.max(F.when((F.col("phase") == "total") & (F.col("sum") > 0), F.col("sum"))), F.sum("sum"))).scalar()
+    rows = basic.join(percentiles(timings, 50, 95), "phase")
+    return rows.select("phase", "n", "mean", "p50", "p95", "sum", F.round(F.col("sum") / F.nullif(whole, F.lit(0.0)), 6).alias("share"))
 
 
 def quartile_means(timings: DataFrame) -> DataFrame:
