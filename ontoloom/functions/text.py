@@ -47,12 +47,9 @@ def word_bag(name: Column) -> Column:
 
 
 def _without(text: Column, endings: list[str], least: int) -> Column:
-    """Without the first ending of the list that fits, if enough is left."""
-    out = text
-    for ending in reversed(endings):
-        fits = F.endswith(text, F.lit(ending)) & (F.length(text) > len(ending) + least)
-        out = F.when(fits, F.substring(text, F.lit(1), F.length(text) - len(ending))).otherwise(out)
-    return out
+    """Without the first ending of the list that leaves more than ``least``
+    letters. In these lists a longer ending always comes before its own tail."""
+    return F.regexp_replace(text, f"^(.{{{least + 1},}}?)(?:{'|'.join(endings)})$", "$1")
 
 
 def name_stem(name: Column) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, hierarchy, measuring
+from . import data, hierarchy, measuring, ontology
 
-MODULES: list = [hierarchy, measuring, data]
+MODULES: list = [hierarchy, ontology, measuring, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
