@@ -200,8 +200,10 @@ def genre(text: Column) -> Column:
 
 def leaks(text: Column) -> Column:
     """LEX-9: every leak as (discloses, matched)."""
-    found = [F.transform(words(text, p), lambda m, k=k: F.struct(F.lit(k).alias("discloses"), m.alias("matched"))) for k, p in LEAKS]
-    return F.concat(*found)
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(words(text, pattern), lambda m: F.struct(F.lit(kind).alias("discloses"), m.alias("matched")))
+
+    return F.concat(*[named(kind, pattern) for kind, pattern in LEAKS])
 
 
 def modal_words(text: Column) -> Column:

@@ -32,44 +32,44 @@ def tuples(norm_tuples: DataFrame) -> DataFrame:
 
 
 def capacities(norm_tuples: DataFrame) -> DataFrame:
-    """PATH-1, 2: (tuple_id, corpus_id, verdict, kinds, loci): for each capacity the
+    """PATH-1, 2: (tuple_id, corpus_id, role, verdict, kinds): for each capacity the
     kinds of the tuples of its corpus that refer to it.
 
     A tuple refers to a capacity by wording (it has half of the capacity's words), by
     place (same rule, and the same actor or addressed to it), or is the capacity's
-    own. The wording is an inverted join in which a capacity is posted under its
-    rarest words only: one that shares half of n words shares one of the n - n/2 + 1
-    rarest. Candidates are first reduced to their distinct (tokens, kinds, locus)."""
+    own, whose recipient and order are no route. The wording is an inverted join in
+    which a capacity is posted under its rarest words only: one that shares half of
+    n words shares one of the n - n/2 + 1 rarest. Equal needs are one need and equal
+    (tokens, kinds) one candidate with a count, so copies never multiply."""
     rows = written(tuples(norm_tuples))
     caps = rows.where(F.col("modality").isin(*CAPACITIES))
     inner = caps.where(~F.coalesce("external_reference", F.lit(False)))
     useful = rows.where(F.size("kinds") > 0)
-    words = useful.groupBy("corpus_id", "tokens", "kinds").agg(F.collect_set("source_locator").alias("loci"))
-    posted = words.select("corpus_id", "kinds", "loci", "tokens", F.explode("tokens").alias("w"))
+    words = useful.groupBy("corpus_id", "tokens", "kinds").agg(F.count("*").alias("n"))
+    posted = words.select("*", F.explode("tokens").alias("w"))
     df = posted.groupBy("corpus_id", "w").agg(F.count("*").alias("df"))
-    need = inner.groupBy("corpus_id", "need").agg(F.count("*").alias("capacities")).where(F.size("need") > 0)
+    need = inner.where(F.size("need") > 0).select("corpus_id", "need").distinct()
     ranked = need.select("corpus_id", "need", F.explode("need").alias("w")).join(df, ["corpus_id", "w"], "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
     rarest = ranked.groupBy("corpus_id", "need").agg(order.alias("o"))
     prefix = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * COVERAGE).cast("int") + 1)
     probes = rarest.select("corpus_id", "need", F.explode(prefix).alias("s")).select("corpus_id", "need", F.col("s.w").alias("w"))
-    covered = probes.join(posted, ["corpus_id", "w"]).where(F.size(F.array_intersect("need", "tokens")) >= F.size("need") * COVERAGE)
-    by_words = covered.select("corpus_id", "need", F.explode("kinds").alias("kind"), "loci").groupBy("corpus_id", "need", "kind").agg(F.array_distinct(F.flatten(F.collect_set("loci"))).alias("loci"))
-    wording = inner.select("tuple_id", "corpus_id", "need").join(by_words, ["corpus_id", "need"]).select("tuple_id", "kind", F.explode_outer("loci").alias("locus"))
-    # By place: the few distinct (role, party, kinds, locus) under one rule.
-    at = useful.where("root <> ''").groupBy("corpus_id", "root", F.col("bearer_role").alias("role"), "party", "kinds").agg(F.collect_set("source_locator").alias("loci"))
-    holders = inner.where("root <> '' and bearer_role <> ''").select("tuple_id", "corpus_id", "root", "bearer_role", content_tokens(F.col("bearer_role")).alias("actor"))
+    met = probes.join(posted, ["corpus_id", "w"]).where(F.size(F.array_intersect("need", "tokens")) >= F.size("need") * COVERAGE)
+    met = met.select("corpus_id", "need", "tokens", "kinds", "n").distinct()
+    by_words = met.select("corpus_id", "need", F.explode("kinds").alias("kind"), "n").groupBy("corpus_id", "need", "kind").agg(F.sum("n").alias("n"))
+    own_kinds = F.col("kinds").alias("own")
+    wording = inner.select("tuple_id", "corpus_id", "need", own_kinds).join(by_words, ["corpus_id", "need"]).select("tuple_id", "own", "kind", "n")
+    at = useful.where("root <> ''").groupBy("corpus_id", "root", F.col("bearer_role").alias("role"), "party", "kinds").agg(F.count("*").alias("n"))
+    holders = inner.where("root <> '' and bearer_role <> ''").select("tuple_id", "corpus_id", "root", "bearer_role", own_kinds, content_tokens(F.col("bearer_role")).alias("actor"))
     addressed = (F.size("actor") > 0) & (F.size(F.array_except("actor", "party")) == 0)
-    place = holders.join(at, ["corpus_id", "root"]).where((F.col("role") == F.col("bearer_role")) | addressed)
-    placed = place.select("tuple_id", F.explode("kinds").alias("kind"), "loci").select("tuple_id", "kind", F.explode_outer("loci").alias("locus"))
-    own = inner.select("tuple_id", F.explode(F.array_except("kinds", F.array(F.lit("recipient"), F.lit("order")))).alias("kind"), F.col("source_locator").alias("locus"))
-    # A capacity's own recipient and order are no route; the same kind from another tuple is.
-    found = wording.unionAll(placed).unionAll(own).distinct()
-    grouped = found.groupBy("tuple_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct("locus").alias("loci"))
+    place = holders.join(at, ["corpus_id", "root"]).where(F.coalesce(F.col("role") == F.col("bearer_role"), F.lit(False)) | addressed)
+    placed = place.select("tuple_id", "own", F.explode("kinds").alias("kind"), "n").groupBy("tuple_id", "own", "kind").agg(F.sum("n").alias("n"))
+    barred = F.col("kind").isin("recipient", "order") & F.array_contains("own", F.col("kind"))
+    other = wording.unionAll(placed).where(~barred | (F.col("n") >= 2)).select("tuple_id", "kind")
+    own = inner.select("tuple_id", F.explode(F.array_except("kinds", F.array(F.lit("recipient"), F.lit("order")))).alias("kind"))
+    grouped = other.unionAll(own).groupBy("tuple_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     verdict = F.when(F.coalesce("external_reference", F.lit(False)), "external").when(F.col("kinds").isNotNull(), "pathway_found").otherwise("no_pathway")
-    return caps.select("tuple_id", "corpus_id", "external_reference", F.coalesce("bearer_role", F.lit("")).alias("role")).join(grouped, "tuple_id", "left").select(
-        "tuple_id", "corpus_id", "role", verdict.alias("verdict"), F.when(verdict == "pathway_found", F.col("kinds")).alias("kinds"), F.when(verdict == "pathway_found", F.col("loci")).otherwise(0).cast("bigint").alias("loci")
-    )
+    return caps.select("tuple_id", "corpus_id", "external_reference", F.coalesce("bearer_role", F.lit("")).alias("role")).join(grouped, "tuple_id", "left").select("tuple_id", "corpus_id", "role", verdict.alias("verdict"), "kinds")
 
 
 def kd3(norm_tuples: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, hierarchy, measuring, ontology
+from . import data, gating, hierarchy, measuring, ontology, texts
 
-MODULES: list = [hierarchy, ontology, measuring, data]
+MODULES: list = [hierarchy, ontology, measuring, texts, gating, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
