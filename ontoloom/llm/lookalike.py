@@ -12,7 +12,7 @@
 The choice depends on the look alone, so texts that look the same get equal
 forms. Letter case, accents, wording, line breaks and runs of several blanks are
 kept, and two ASCII characters never become one (a CR before an LF is no
-character of its own). Null texts have no form, empty texts the empty form; texts
+character of its own). Rows without a doc_id are no documents. Null texts have no form, empty texts the empty form; texts
 without a visible character are in no pair."""
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def forms(documents: DataFrame) -> DataFrame:
     """(doc_id, text) with every text in its one form."""
-    return documents.select("doc_id", "text").mapInPandas(_forms, "doc_id BIGINT, text STRING")
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(_forms, "doc_id BIGINT, text STRING")
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

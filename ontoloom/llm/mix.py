@@ -161,7 +161,7 @@ def mixed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     encoded = encoded_sources(documents, targets)
     tokens = encoded.groupBy("source").agg(F.sum(F.size("ids")).alias("tokens"), F.count("*").alias("texts"))
     # One row for each listed source: the targets are a fixed table.
-    stats, slots = plan(targets.where(F.col("source").isNotNull()).join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
+    stats, slots = plan(targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
     shards = -(-slots // SHARD)
     drawn = spark.range(shards).repartition(max(1, min(shards // 16 + 1, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
     mix = drawn.join(packed(encoded), ["source", "block"])

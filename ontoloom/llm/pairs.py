@@ -376,9 +376,12 @@ def payload_defect(payload: str | None) -> tuple[bool, str | None]:
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        seen = [payload_defect(p) for p in batch["payload"]]
-        keep = [ok for ok, _ in seen]
-        yield pd.DataFrame({"event_id": batch["event_id"][keep], "defect": [d for ok, d in seen if ok]})
+        rows = []
+        for event_id, payload in zip(batch["event_id"].tolist(), batch["payload"].tolist()):
+            valid, defect = payload_defect(payload)
+            if valid:
+                rows.append((event_id, defect))
+        yield pd.DataFrame({"event_id": [r[0] for r in rows], "defect": pd.Series([r[1] for r in rows], dtype=object)})
 
 
 def judged_pairs(session_log: DataFrame) -> DataFrame:

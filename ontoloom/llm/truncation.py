@@ -41,18 +41,19 @@ def heading(text: Column) -> Column:
     that stops at a small word has been cut."""
     lower_words = F.regexp_replace(text, rf"(?<=\s){SMALL_WORDS}(?=\s)", "")
     return (
-        text.rlike("(?i)" + HEADING)
+        (F.length(text) <= 160)
+        & text.rlike("(?i)" + HEADING)
         & ~lower_words.rlike(r"\s\p{Ll}")
         & ~text.rlike(rf"\s{SMALL_WORDS}$")
-        & (F.length(text) <= 160)
     )
 
 
 def features(rows: DataFrame, kind: str, key: str, source: str, text: str) -> DataFrame:
     """Narrow rows: lengths and three tests of the end, without the text."""
     value = F.regexp_replace(F.col(text), r"[\s ​﻿]+$", "")
-    marked = value.rlike(CUT_MARK) | value.rlike(ABBREVIATED)
-    ended = value.rlike(CLOSED) | value.rlike(r"(?i);(?:\s+(?:and|or))?$")
+    end = F.substring(value, -200, 200)  # what the tests of the end look at
+    marked = end.rlike(CUT_MARK) | end.rlike(ABBREVIATED)
+    ended = end.rlike(CLOSED) | end.rlike(r"(?i);(?:\s+(?:and|or))?$")
     return (
         rows.where(F.col(key).isNotNull())
         .select(
@@ -61,7 +62,7 @@ def features(rows: DataFrame, kind: str, key: str, source: str, text: str) -> Da
             F.coalesce(marked, F.lit(False)).alias("marked"),
             F.coalesce(ended, F.lit(True)).alias("ended"),
             F.coalesce(heading(value), F.lit(False)).alias("heading"),
-            F.coalesce(value.rlike(CITED), F.lit(False)).alias("cited"),
+            F.coalesce(end.rlike(CITED), F.lit(False)).alias("cited"),
         )
         .dropDuplicates(["record_kind", "record_id"])
     )
