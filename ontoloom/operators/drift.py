@@ -283,5 +283,5 @@ def unified(exports: DataFrame, max_columns: int = 5000) -> DataFrame:
             yield frame
 
     mapping = named.where(F.col("name") != F.col("field")).groupBy(*FILE).agg(F.collect_list(F.struct("level", "field", "name")).alias("mapping"))
-    lines = exports.select(*FILE, "record").dropDuplicates().join(mapping, FILE, "left")
+    lines = exports.where(F.col("stream").isNotNull() & F.col("file_no").isNotNull()).select(*FILE, "record").dropDuplicates().join(mapping, FILE, "left")
     return lines.mapInPandas(rows, schema)
