@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, gating, hierarchy, measuring, ontology, texts
+from . import data, gating, hierarchy, live, measuring, ontology, texts
 
-MODULES: list = [hierarchy, ontology, measuring, texts, gating, data]
+MODULES: list = [hierarchy, ontology, measuring, texts, gating, live, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
