@@ -134,3 +134,21 @@ def chained(log: DataFrame) -> DataFrame:
     """WIN-7, SNK-8: ``log(file, line_no, line)`` with the digest of the line before."""
     order = Window.partitionBy("file").orderBy("line_no")
     return log.withColumn("prev", F.coalesce(F.concat(F.lit("sha256:"), F.sha2(F.lag("line").over(order), 256)), F.lit(GENESIS)))
+
+
+def largest_gaps(session_log: DataFrame) -> DataFrame:
+    """WIN-11: by session, the event with the longest wait until the next one; the
+    first of equal waits."""
+    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    rows = events(session_log).where("session_id is not null").withColumn("wait", F.unix_timestamp(F.lead("ts").over(order)) - F.unix_timestamp("ts"))
+    best = F.max_by("event_id", F.struct("wait", (-F.unix_timestamp("ts")).alias("early"), (-F.col("event_id")).alias("low")))
+    return rows.where("wait is not null").groupBy("session_id").agg(F.max("wait").alias("wait"), best.alias("event_id"))
+
+
+def grounded_answers(session_log: DataFrame) -> DataFrame:
+    """FLT-11, AGG-23: what answers say of their grounding against the names they
+    cite: grounded is at least one cited and none missing."""
+    rows = events(session_log).where("event_type = 'query'")
+    size = lambda path: F.coalesce(F.json_array_length(field(path)), F.lit(0))
+    found = (size("$.referenced_iris") > 0) & (size("$.missing_iris") == 0)
+    return rows.groupBy(F.coalesce(field("$.grounded"), F.lit("none")).alias("said"), found.alias("found")).agg(F.count("*").alias("answers"))

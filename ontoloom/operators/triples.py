@@ -245,3 +245,41 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 def lowest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """One row by key, the first in order."""
     return rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("i = 1").drop("i")
+
+
+# ---------------------------------------------------------------- reports
+
+def reduced_world(triples: DataFrame, touched: DataFrame) -> DataFrame:
+    """HIER-22: the class axioms, the ``touched(individual)`` and what lies one step
+    from them, by two semi-joins."""
+    tbox = triples.where((F.col("p") == SUBCLASS) | ((F.col("p") == TYPE) & F.col("o").rlike(BUILTIN)) | (F.col("s_kind") == "bnode"))
+    near = triples.join(touched.select(F.col("individual").alias("s")), "s", "left_semi")
+    step = triples.join(near.where(F.col("o_kind") == "iri").select(F.col("o").alias("s")).distinct(), "s", "left_semi")
+    return tbox.unionByName(near).unionByName(step).distinct()
+
+
+def canonical_coverage(canonical: DataFrame, reach: DataFrame, typed: DataFrame, held: DataFrame) -> DataFrame:
+    """CANON-1: of ``canonical(class)`` the subclasses, instances of these and
+    restrictions on them; zero rows are kept."""
+    below = reach.select(F.col("ancestor").alias("class"), F.col("node").alias("sub")).join(canonical, "class", "left_semi")
+    subs = below.groupBy("class").agg(F.count("*").alias("subclasses"))
+    instances = below.join(typed.select(F.col("class").alias("sub"), "individual"), "sub").groupBy("class").agg(F.count_distinct("individual").alias("instances"))
+    used = held.groupBy(F.col("filler").alias("class")).agg(F.count("*").alias("restrictions"))
+    rows = canonical.select("class").distinct().join(subs, "class", "left").join(instances, "class", "left").join(used, "class", "left")
+    return rows.select("class", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("subclasses", "instances", "restrictions")])
+
+
+def quality_gates(metrics: DataFrame, bounds: DataFrame) -> DataFrame:
+    """FIN-2: (gate, value, bound, passed) of ``metrics(metric, value)`` against
+    ``bounds(metric, least, most)``; a gate without a value is not passed."""
+    rows = F.broadcast(bounds).join(metrics, "metric", "left")
+    ok = (F.col("value") >= F.coalesce("least", F.lit(float("-inf")))) & (F.col("value") <= F.coalesce("most", F.lit(float("inf"))))
+    return rows.select(F.col("metric").alias("gate"), "value", F.coalesce("least", "most").alias("bound"), F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
+def realizable_misuse(held: DataFrame, reach: DataFrame, realizable: str, bearer: str) -> DataFrame:
+    """RM-1, the structural half: restricted classes under ``realizable`` whose filler is
+    not under ``bearer``."""
+    under = reach.where(F.col("ancestor") == realizable).select(F.col("node").alias("class")).distinct()
+    fine = reach.where(F.col("ancestor") == bearer).select(F.col("node").alias("filler")).distinct()
+    return held.join(under, "class", "left_semi").join(fine, "filler", "left_anti").select("class", "property", "filler").distinct()

@@ -86,6 +86,8 @@ QUERIES = {
     "log_replay_state": _log(logs.replay),
     "log_claim_timings": _log(logs.claim_timing_totals),
     "log_stalls": _log(logs.stalls),
+    "log_largest_gaps": _log(logs.largest_gaps),
+    "log_grounded_answers": _log(logs.grounded_answers),
     "log_first_quote": _claims(logs.first_quotes),
     "log_gate_preservation": _claims(logs.gate_preservation),
     "job_status_counts": _claims(logs.status_counts),
@@ -137,6 +139,9 @@ SQL = {
         SELECT phase, count(*) AS n, round(sum(ms), 1) AS ms FROM v WHERE ms IS NOT NULL GROUP BY 1""",
     "log_stalls": f"""WITH {LOG}, g AS (SELECT session_id, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS gap FROM e WHERE session_id IS NOT NULL)
         SELECT session_id, count(*) FILTER (WHERE gap > 1800) AS stalls, max(gap) AS longest FROM g GROUP BY 1""",
+    "log_largest_gaps": f"""WITH {LOG}, g AS (SELECT session_id, event_id, ts, lead(floor(epoch(ts))::BIGINT) OVER (PARTITION BY session_id ORDER BY ts, event_id) - floor(epoch(ts))::BIGINT AS wait FROM e WHERE session_id IS NOT NULL)
+        SELECT session_id, max(wait) AS wait, arg_max(event_id, (wait, -floor(epoch(ts))::BIGINT, -event_id)) AS event_id FROM g WHERE wait IS NOT NULL GROUP BY 1""",
+    "log_grounded_answers": f"""WITH {LOG} SELECT coalesce(payload->>'$.grounded', 'none') AS said, coalesce(json_array_length(payload->'$.referenced_iris'), 0) > 0 AND coalesce(json_array_length(payload->'$.missing_iris'), 0) = 0 AS found, count(*) AS answers FROM e WHERE event_type = 'query' GROUP BY 1, 2""",
     "log_first_quote": "SELECT section, min(claim_key) AS claim_key, arg_min(substr(source_quote, 1, 200), claim_key) AS quote FROM claims WHERE section IS NOT NULL AND source_quote <> '' GROUP BY 1",
     "log_gate_preservation": """WITH l AS (SELECT job_id, proposal_id, arg_max(status, (updated_at, claim_key)) AS status, bool_or(coalesce(verdict = 'inconsistent', false)) AS clashed FROM claims WHERE proposal_id IS NOT NULL GROUP BY 1, 2)
         SELECT job_id, count(*) AS proposals, count(*) FILTER (WHERE clashed) AS clashes, count(*) FILTER (WHERE clashed AND status = 'committed') AS recovered FROM l GROUP BY 1""",

@@ -161,7 +161,34 @@ def _precedence(spark, d):
     return G.module_precedence(rows)
 
 
+def _world(spark, d):
+    touched = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("individual"))
+    return G.reduced_world(A.triples(spark, d), touched).groupBy("p").agg(F.count("*").alias("triples"))
+
+
+def _canonical(spark, d):
+    """Regions and nations are canonical; orders are individuals of their customer."""
+    t, sub = A.triples(spark, d), A.taxonomy(spark, d)
+    nodes = sub.select(F.col("parent").alias("class")).where("class <> 'entity'").distinct()
+    typed = table(spark, d, "orders").select(F.col("o_orderkey").alias("individual"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("class"))
+    return G.canonical_coverage(nodes, graph.closure(sub), typed, G.restrictions(t))
+
+
+def _gates(spark, d):
+    one = G.census(A.triples(spark, d))
+    metrics = one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("classes", "labelled", "restrictions", "properties")])))
+    return G.quality_gates(metrics, spark.createDataFrame([("classes", 100.0, None), ("labelled", None, 50.0), ("restrictions", 20.0, 30.0), ("never_measured", 1.0, None)], "metric STRING, least DOUBLE, most DOUBLE"))
+
+
+def _misuse(spark, d):
+    return G.realizable_misuse(G.restrictions(A.triples(spark, d)), graph.closure(A.taxonomy(spark, d)), "r:1", "r:2")
+
+
 QUERIES = {
+    "report_reduced_world": _world,
+    "report_canonical_coverage": _canonical,
+    "report_quality_gates": _gates,
+    "rm_misuse": _misuse,
     "census_metrics": _t(G.census),
     "census_relation_usage": _t(G.relation_usage),
     "census_undeclared": _t(G.undeclared),
@@ -196,6 +223,14 @@ QUERIES = {
 
 T_ = f"WITH {TRIPLES}"
 SQL = {
+    "report_reduced_world": f"""{T_}, n AS (SELECT * FROM t WHERE s IN (SELECT 'part:' || p_partkey FROM part WHERE p_partkey % 100 = 0)),
+        w AS (SELECT * FROM t WHERE p = 'rdfs:subClassOf' OR (p = 'rdf:type' AND regexp_matches(o, '^(rdf|rdfs|owl):')) OR s_kind = 'bnode' UNION SELECT * FROM n UNION SELECT * FROM t WHERE s IN (SELECT o FROM n WHERE o_kind = 'iri')) SELECT p, count(*) AS triples FROM w GROUP BY 1""",
+    "report_canonical_coverage": f"""{TREE}, c AS (SELECT DISTINCT parent AS class FROM sub WHERE parent <> 'entity')
+        SELECT class, (SELECT count(*) FROM reach WHERE ancestor = class) AS subclasses, (SELECT count(DISTINCT o_orderkey) FROM orders JOIN reach ON node = 'c:' || o_custkey AND ancestor = class) AS instances,
+        (SELECT count(*) FROM nation WHERE 'r:' || n_regionkey = class) AS restrictions FROM c""",
+    "report_quality_gates": f"""{T_}, m AS (SELECT count(DISTINCT s) FILTER (WHERE o = 'owl:Class')::DOUBLE AS c, count(DISTINCT s) FILTER (WHERE p = 'rdfs:label')::DOUBLE AS l, count(*) FILTER (WHERE o = 'owl:Restriction')::DOUBLE AS r FROM t)
+        SELECT 'classes' AS gate, c AS value, 100.0::DOUBLE AS bound, c >= 100 AS passed FROM m UNION ALL SELECT 'labelled', l, 50.0, l <= 50 FROM m UNION ALL SELECT 'restrictions', r, 20.0, r BETWEEN 20 AND 30 FROM m UNION ALL SELECT 'never_measured', NULL, 1.0, false""",
+    "rm_misuse": f"{TREE} SELECT 'n:' || n_nationkey AS class, 'locatedIn' AS property, 'r:' || n_regionkey AS filler FROM nation WHERE 'n:' || n_nationkey IN (SELECT node FROM reach WHERE ancestor = 'r:1') AND 'r:' || n_regionkey NOT IN (SELECT node FROM reach WHERE ancestor = 'r:2')",
     "census_metrics": f"""{T_} SELECT count(*) AS triples, count(DISTINCT s) FILTER (WHERE p = 'rdf:type' AND o = 'owl:Class') AS classes, count(DISTINCT s) FILTER (WHERE p = 'rdf:type' AND NOT regexp_matches(o, '^(rdf|rdfs|owl):')) AS individuals,
         count(DISTINCT s) FILTER (WHERE p = 'rdf:type' AND o LIKE '%Property') AS properties, count(*) FILTER (WHERE p = 'rdfs:subClassOf') AS subclass_axioms, count(*) FILTER (WHERE o = 'owl:Restriction') AS restrictions,
         count(DISTINCT s) FILTER (WHERE p = 'rdfs:label') AS labelled, count(*) FILTER (WHERE o_kind = 'lit') AS literals FROM t""",
