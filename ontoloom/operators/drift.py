@@ -32,6 +32,7 @@ FILE = ["stream", "file_no"]
 def load(record: object) -> dict | None:
     try:
         value = json.loads(record) if isinstance(record, str) else None
+        value = json.loads(value) if isinstance(value, str) else value
     except ValueError:
         return None
     return value if isinstance(value, dict) else None

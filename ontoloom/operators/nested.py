@@ -7,7 +7,7 @@ exactly if their subtrees are equal. ``objects`` stores each identity once;
 
 Defined cases: a null element is no record but keeps its ordinal; a single value
 in place of an array is an array of one; a value encoded as a JSON string counts
-as what it encodes; a payload that is no JSON object, or has no proposal, has no
+as what it encodes, the payload itself included; a payload that is no JSON object, or has no proposal, has no
 children; rows repeated with the same event_id count once."""
 
 from __future__ import annotations
@@ -67,10 +67,7 @@ def own_content(value: object, nested: tuple[str, ...]) -> str:
 
 def walk(payload: object) -> Iterator[tuple[str, int, int, str, str, str]]:
     """(child, pos, sub_pos, parent identity, identity, content), parents first."""
-    try:
-        body = json.loads(payload) if isinstance(payload, str) else None
-    except ValueError:
-        return
+    body = decode(payload)
     if not isinstance(body, dict):
         return
     for at, proposal in elements(body.get("proposal")):

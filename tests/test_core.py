@@ -37,13 +37,13 @@ def test_components(spark):
 
 def test_proposals_keep_places(spark):
     proposal = {"proposal_id": "p", "entities": [None, {"label": "A", "possible_relations": ["x", None, '{"s": 1}']}, '{"label": "B"}'], "relations": {"s": "a"}, "open_questions": "why?"}
-    rows = [(1, "propose", json.dumps({"proposal": proposal})), (1, "propose", json.dumps({"proposal": proposal})), (2, "propose", json.dumps({"proposal": json.dumps(proposal)})), (3, "propose", "{bad"), (4, "propose", None), (5, "query", "{}"), (6, "propose", '{"proposal": null}')]
+    rows = [(1, "propose", json.dumps({"proposal": proposal})), (1, "propose", json.dumps({"proposal": proposal})), (2, "propose", json.dumps({"proposal": json.dumps(proposal)})), (7, "propose", json.dumps(json.dumps({"proposal": proposal}))), (3, "propose", "{bad"), (4, "propose", None), (5, "query", "{}"), (6, "propose", '{"proposal": null}')]
     log = spark.createDataFrame([(*r, 0) for r in rows], "event_id BIGINT, event_type STRING, payload STRING, pos INT")
     want = {("entities", 1, -1), ("entities", 2, -1), ("possible_relations", 1, 0), ("possible_relations", 1, 2), ("relations", 0, -1), ("open_questions", 0, -1)}
     got = {(r.event_id, r.child, r.pos, r.sub_pos) for r in nested.bridge(log).where("child <> 'proposals'").collect()}
-    assert got == {(e, *w) for e in (1, 2) for w in want}
+    assert got == {(e, *w) for e in (1, 2, 7) for w in want}
     stored = nested.objects(log)
-    assert stored.count() == 7 and {r.places for r in stored.collect()} == {2}
+    assert stored.count() == 7 and {r.places for r in stored.collect()} == {3}
     assert nested.identity({"a": 1, "b": [1]}) == nested.identity({"b": "[1]", "a": 1}) != nested.identity({"a": 1, "b": [2]})
     assert nested.flat(log, "open_questions").first().question == "why?"
     assert nested.bridge(log.limit(0)).count() == 0
