@@ -4,27 +4,29 @@ A record's set holds the distinct runs of ASCII letters and digits of its
 lower-cased text. Records with equal sets are one class; one representative of
 each class is compared.
 
-1. *Skip list.* Tokens of more than ``skip`` records have posting lists too long
-   to merge. The ``skip_tokens`` most frequent of them are skipped; the list is
-   broadcast at 8 bytes a token, so its bound is the parameter. Should more
-   tokens be that frequent, the rest of them are posted like any other.
-2. *Coordinates.* A class is posted under each token that is not skipped (the
-   prefix: its rarest tokens, one coordinate each) and under ``BANDS``
-   coordinates of ``ROWS`` min-wise hashes of its skipped tokens, which stand in
-   for the skipped lists.
+1. *Order.* Tokens are ordered by frequency: first those of at most ``skip``
+   records, by hash, then the ``skip_tokens`` most frequent of the others, rarest
+   first. The list of the latter is broadcast at 12 bytes a token, so its bound is
+   the parameter. Should more tokens be that frequent, the rest of them count as
+   rare; any order gives the same pairs.
+2. *Coordinates.* A class of n tokens is posted under the first n - ceil(tn) + 1
+   of them in that order, t being the threshold. Two classes at or above it share
+   at least tn tokens of either, so they share one that both are posted under,
+   however frequent their tokens are. A posting carries n and the size u of the
+   largest class that can still match if this token is the first shared one.
 3. *Collisions.* Lists are merged in order of coordinate value. Two classes that
    meet are kept if their ``BITS`` one-bit coordinates, carried in the posting,
    collide often enough: 4.5 standard deviations below what is expected of a
-   pair at the threshold.
+   pair at the threshold, and 5.2 below it in the first half of the bits.
 4. *Exact check* on the token sets of the pairs that are left.
 
-A pair at the threshold that shares any token outside the skip list always
-meets. One that shares none must agree all the more on the skipped tokens, as
-every token it lacks elsewhere counts against it; the bands find it with a
-probability of 0.97 at a similarity of 0.84 of those tokens, 0.999 at 0.9.
+Every pair at the threshold meets; step 3 alone loses one with a chance of about
+4 in a million.
 
-A list longer than ``hot`` is not merged in one task: it is cut into blocks, and
-blocks meet blocks in tasks of their own. No list and no pair is dropped.
+A list longer than ``TOGETHER`` times ``hot`` is not merged in one task: it is cut
+into blocks of ``hot``, and blocks meet blocks in tasks of their own. No list and
+no pair is dropped. Where all tokens are frequent the comparisons grow with the
+square of the records.
 
 Defined cases: null texts count as empty; records without a token, or without a
 key, are in no pair; rows repeated with the same key count once; an empty table
@@ -43,10 +45,11 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import small, written
 
-BANDS, ROWS, BITS = 12, 8, 128
+BITS, TOGETHER = 256, 16
+SIGNATURE = ("s1", "s2", "s3", "s4")
 SEED = 20261
-POSTING = "value BIGINT, rep BIGINT, s1 BIGINT, s2 BIGINT"
-MERGED = "value BIGINT, a BIGINT, b BIGINT, s1 BIGINT, s2 BIGINT"
+POSTING = "value BIGINT, rep BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, s4 BIGINT, n INT, u INT"
+MERGED = "value BIGINT, a BIGINT, b BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, s4 BIGINT, n INT, u INT"
 
 
 def token_hashes(text: Column) -> Column:
@@ -75,14 +78,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _post(skipped: object) -> object:
-    """Postings of each class; ``skipped`` is the broadcast sorted skip list."""
+def _post(skipped: object, threshold: float) -> object:
+    """Postings of each class; ``skipped`` is the broadcast of the frequent tokens
+    and their places in the order."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(SEED)
         mult = rng.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
         add = rng.integers(0, 2**63, BITS, dtype=np.uint64)
-        frequent = skipped.value
+        frequent, places = skipped.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo in range(0, len(batch), 2000):
@@ -92,67 +96,77 @@ def _post(skipped: object) -> object:
                     flat = np.concatenate(part["tokens"].to_numpy()).astype(np.int64)
                     row = np.repeat(np.arange(size), lens)
                     starts = np.cumsum(lens) - lens
-                    common = np.zeros(len(flat), dtype=bool)
+                    place = np.zeros(len(flat), dtype=np.int32)
                     if len(frequent):
-                        common = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
-                    has = np.flatnonzero(np.bincount(row[common], minlength=size))
-                    c_starts = np.searchsorted(row[common], has)
+                        near = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+                        place = np.where(frequent[near] == flat, places[near], 0)
                     base = _mix(flat.view(np.uint64))
-                    sig = np.zeros((2, size), dtype=np.uint64)
-                    minima = np.zeros((BANDS * ROWS, len(has)), dtype=np.uint64)
+                    sig = np.zeros((BITS // 64, size), dtype=np.uint64)
                     for j in range(BITS):
                         h = base * mult[j] + add[j]
                         sig[j // 64] |= (_mix(np.minimum.reduceat(h, starts)) & np.uint64(1)) << np.uint64(j % 64)
-                        if j < BANDS * ROWS and len(has):
-                            minima[j] = np.minimum.reduceat(h[common], c_starts)
-                    values, who = [flat[~common]], [row[~common]]
-                    for b in range(BANDS):
-                        value = np.full(len(has), np.uint64((b + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-                        for j in range(b * ROWS, (b + 1) * ROWS):
-                            value = _mix(value * np.uint64(0x100000001B3) ^ minima[j])
-                        values.append(value.view(np.int64))
-                        who.append(has)
-                    at = np.concatenate(who)
-                    yield pd.DataFrame({"value": np.concatenate(values), "rep": rep[at], "s1": sig[0].view(np.int64)[at], "s2": sig[1].view(np.int64)[at]})
+                    first = lens - np.ceil(threshold * lens - 1e-9).astype(np.int64) + 1
+                    order = np.lexsort((flat, place, row))
+                    passed = np.arange(len(flat)) - np.repeat(starts, lens)
+                    kept = passed < np.repeat(first, lens)
+                    posted, passed = order[kept], passed[kept]
+                    at = row[posted]
+                    n = lens[at]
+                    u = np.floor((n - passed) * (1 + threshold) / threshold + 1e-6).astype(np.int64) - n
+                    yield pd.DataFrame({"value": flat[posted], "rep": rep[at], **{c: sig[k].view(np.int64)[at] for k, c in enumerate(SIGNATURE)}, "n": n.astype(np.int32), "u": u.astype(np.int32)})
 
     return post
 
 
-def least_match(threshold: float, sigmas: float = 4.5) -> int:
+def least_match(threshold: float, sigmas: float = 4.5, bits: int = BITS) -> int:
     """The match threshold of the one-bit coordinates."""
     p = (1 + threshold) / 2
-    return math.floor(BITS * p - sigmas * math.sqrt(BITS * p * (1 - p)))
+    return math.floor(bits * p - sigmas * math.sqrt(bits * p * (1 - p)))
 
 
-def _collide(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
-    differ = np.bitwise_count((one[i] ^ one[j]).view(np.uint64)) + np.bitwise_count((two[i] ^ two[j]).view(np.uint64))
-    return BITS - differ.astype(np.int32) >= least
+def _differ(words: list[np.ndarray], i: object, j: object) -> np.ndarray:
+    """In how many bits the rows i and j differ."""
+    return sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int16) for w in words)
 
 
-def _merge(least: int, hot: int) -> object:
+def _merge(least: int, half: int, hot: int) -> object:
     """Merges posting lists that arrive sorted by value and rep. Gives pairs
-    (value null), and the postings of lists longer than ``hot`` (b null)."""
+    (value null), and the postings of lists longer than ``hot`` (b null). Of the
+    first half of the bits ``half`` must match, of all ``least``."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(lists: pd.DataFrame) -> pd.DataFrame:
-            value, rep, s1, s2 = (lists[c].to_numpy() for c in ("value", "rep", "s1", "s2"))
-            left, right = [], []
-            at = np.arange(len(value))
-            for d in range(1, len(value)):
-                at = at[at + d < len(value)]
-                at = at[value[at] == value[at + d]]
-                if not len(at):
-                    break
-                ok = at[_collide(s1, s2, at, at + d, least)]
-                left.append(rep[ok])
-                right.append(rep[ok + d])
-            out = pd.DataFrame({"a": np.concatenate(left or [rep[:0]]), "b": np.concatenate(right or [rep[:0]])}).drop_duplicates()
-            return out.assign(value=pd.Series(np.nan, index=out.index, dtype="Int64"), s1=np.int64(0), s2=np.int64(0))[["value", "a", "b", "s1", "s2"]]
+            lists = lists.sort_values(["value", "n"], kind="stable")
+            value, rep, n, u = (lists[c].to_numpy() for c in ("value", "rep", "n", "u"))
+            words = [lists[c].to_numpy() for c in SIGNATURE]
+            most, most_half = BITS - least, BITS // 2 - half
+            left, right = [rep[:0]], [rep[:0]]
+            width, group = int(n.max()) + 1, np.cumsum(np.r_[0, value[1:] != value[:-1]])
+            place = np.arange(len(value))
+            end = np.searchsorted(group * width + n, group * width + np.clip(u, 0, width - 1), "right")
+            count = np.maximum(end - place - 1, 0)
+            some = np.flatnonzero((count > 0) & (count <= 256))
+            for lo in range(0, len(some), 8192):
+                i = np.repeat(some[lo : lo + 8192], count[some[lo : lo + 8192]])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.r_[0, np.cumsum(count[some[lo : lo + 8192]])[:-1]], count[some[lo : lo + 8192]])
+                ok = (_differ(words, i, j) <= most) & (n[i] <= u[j])
+                left.append(rep[i[ok]])
+                right.append(rep[j[ok]])
+            for i in np.flatnonzero(count > 256):
+                to = slice(i + 1, end[i])
+                near = np.bitwise_count((words[0][to] ^ words[0][i]).view(np.uint64)) + np.bitwise_count((words[1][to] ^ words[1][i]).view(np.uint64))
+                ok = i + 1 + np.flatnonzero(near <= most_half)
+                ok = ok[(_differ(words, ok, i) <= most) & (n[i] <= u[ok])]
+                if len(ok):
+                    left.append(np.full(len(ok), rep[i]))
+                    right.append(rep[ok])
+            out = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+            return out.assign(value=pd.Series(np.nan, index=out.index, dtype="Int64"), **dict.fromkeys(SIGNATURE, np.int64(0)), n=np.int32(0), u=np.int32(0))[["value", "a", "b", *SIGNATURE, "n", "u"]]
 
         def long_list(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"value": part["value"].astype("Int64"), "a": part["rep"], "b": pd.Series(np.nan, index=part.index, dtype="Int64"), "s1": part["s1"], "s2": part["s2"]})
+            return pd.DataFrame({"value": part["value"].astype("Int64"), "a": part["rep"], "b": pd.Series(np.nan, index=part.index, dtype="Int64"), **{c: part[c] for c in (*SIGNATURE, "n", "u")}})
 
-        rest, hot_value = pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("value", "rep", "s1", "s2")}), None
+        rest, hot_value = pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("value", "rep", *SIGNATURE, "n", "u")}), None
         for batch in batches:
             rest = pd.concat([rest, batch], ignore_index=True)
             rest = rest[(rest["value"].diff() != 0) | (rest["rep"].diff() != 0)]
@@ -185,18 +199,18 @@ def _blocks(long_lists: DataFrame, least: int, block: int) -> DataFrame:
     """Pairs within long lists: each list is cut into blocks of about ``block``
     rows by a hash of the rep; each row goes to the cells (its block, any) and
     (any, its block) of the upper triangle, and a cell is one join key."""
-    lists = long_lists.select("value", F.col("a").alias("rep"), "s1", "s2").distinct()
+    lists = long_lists.select("value", F.col("a").alias("rep"), *SIGNATURE, "n", "u").distinct()
     sizes = lists.groupBy("value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = lists.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     cells = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumns({"lo": F.least("own", "i"), "hi": F.greatest("own", "i")})
-    left = cells.select("value", "lo", "hi", "own", F.col("rep").alias("a"), "s1", "s2")
-    right = cells.select("value", "lo", "hi", F.col("own").alias("own2"), F.col("rep").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    left = cells.select("value", "lo", "hi", "own", F.col("rep").alias("a"), *SIGNATURE, "n", "u")
+    right = cells.select("value", "lo", "hi", F.col("own").alias("own2"), F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in SIGNATURE], F.col("n").alias("m"), F.col("u").alias("v"))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE)
     apart = (F.col("own") != F.col("own2")) | (F.col("lo") == F.col("hi"))
     return (
         left.join(right, ["value", "lo", "hi"])
-        .where(apart & (F.col("a") < F.col("b")) & (F.lit(BITS) - differ >= least))
+        .where(apart & (F.col("a") < F.col("b")) & (F.col("n") <= F.col("v")) & (F.col("m") <= F.col("u")) & (F.lit(BITS) - differ >= least))
         .select("a", "b")
     )
 
@@ -222,12 +236,13 @@ def similar_classes(sets: DataFrame, threshold: float, skip: int = 32, skip_toke
         .orderBy(F.desc("df"), "token").limit(skip_tokens)
         .select("token").toPandas()["token"].to_numpy(dtype=np.int64)
     )
-    skipped = spark.sparkContext.broadcast(np.sort(frequent))
-    least = least_match(threshold)
-    posts = sets.select("key", "tokens").mapInPandas(_post(skipped), POSTING)
+    by_hash = np.argsort(frequent)
+    skipped = spark.sparkContext.broadcast((frequent[by_hash], (len(frequent) - by_hash).astype(np.int32)))
+    least, half = least_match(threshold), least_match(threshold, 5.2, BITS // 2)
+    posts = sets.select("key", "tokens").mapInPandas(_post(skipped, threshold), POSTING)
     merged = written(
         posts.repartition("value").sortWithinPartitions("value", "rep")
-        .mapInPandas(_merge(least, hot), MERGED)
+        .mapInPandas(_merge(least, half, TOGETHER * hot), MERGED)
     )
     met = merged.where(F.col("b").isNotNull()).select("a", "b")
     long_lists = merged.where(F.col("b").isNull())

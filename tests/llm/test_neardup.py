@@ -63,3 +63,30 @@ def test_copies_are_one_class(spark):
     rows = [(k, "one two three four", None) for k in range(40)] + [(100, "one two three four five", None)]
     got = {tuple(r) for r in neardup.similar_pairs(table(spark, rows), "claim_key", TEXT(), 0.7).collect()}
     assert got == brute(rows, 0.7)
+
+
+def frequent(seed, n=300):
+    """Variants of one text at about 0.7, all of whose tokens are in more than 32 records."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for key in range(n):
+        text = rng.sample(words[:30], rng.randint(23, 28)) + rng.sample(words[30:], rng.randint(2, 4))
+        rows.append((key, " ".join(text), None))
+    return rows
+
+
+def test_pairs_of_frequent_tokens_only(spark):
+    for seed in (8, 9):
+        rows = frequent(seed)
+        sets = [set(c.split()) for _, c, _ in rows]
+        assert min(sum(w in s for s in sets) for w in set().union(*sets)) > 32
+        got = [tuple(r) for r in neardup.similar_pairs(table(spark, rows), "claim_key", TEXT(), 0.7).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7)
+
+
+def test_blocks_of_long_lists_give_the_same_pairs(spark):
+    rows = frequent(10, 200)
+    _, sets = neardup.representatives(neardup.token_sets(table(spark, rows), "claim_key", TEXT()))
+    got = [tuple(r)[:2] for r in neardup.similar_classes(sets, 0.7, hot=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7)
