@@ -112,18 +112,36 @@ def objects(session_log: DataFrame) -> DataFrame:
 # The fields of each flat table.
 FIELDS = {
     "proposals": "proposal_id session_id utterance rationale_summary reasoner_verdict gate_outcome gate_tier",
-    "entities": "label iri_suggestion bfo_type bfo_label kind parent_class rationale is_new existing_iri definition recognition_locus source_span",
+    "entities": "label iri_suggestion bfo_type bfo_label kind parent_class rationale is_new existing_iri definition definition_status recognition_locus source_span distinct_from illustrative",
     "relations": "s p o rationale quantifier",
     "possible_relations": "s p o rationale quantifier",
 }
 
 
+def _rest(names: list[str]) -> object:
+    @F.pandas_udf("string")
+    def rest(content: pd.Series) -> pd.Series:
+        def other(text: str) -> str | None:
+            value = json.loads(text)
+            if isinstance(value, dict):
+                value = {k: v for k, v in value.items() if k not in names}
+                if not value:
+                    return None
+            return json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+        return content.map(other)
+
+    return rest
+
+
 def flat(session_log: DataFrame, child: str) -> DataFrame:
-    """The flat table of one kind: its place, its parent's identity and fields."""
+    """The flat table of one kind: its place, its parent's identity, its fields, and
+    as ``rest`` the JSON of what has no column: the other fields of an object, or
+    the whole of a record that is none."""
     rows = occurrences(session_log).where(F.col("child") == child).dropDuplicates(["event_id", "pos", "sub_pos"])
     keys = ["event_id", "pos", "sub_pos", "parent", "node"]
     if child == "open_questions":
         text = F.when(F.col("content").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), "content", F.lit("}")), "$.v")).otherwise(F.col("content"))
         return rows.select(*keys, text.alias("question"))
     names = FIELDS[child].split()
-    return rows.select(*keys, F.json_tuple("content", *names).alias(*names))
+    return rows.select(*keys, F.json_tuple("content", *names).alias(*names), _rest(names)("content").alias("rest"))

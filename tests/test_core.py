@@ -145,3 +145,13 @@ def test_bnodes_and_malformed(spark):
     assert one == two
     names = spark.createDataFrame([("http://x/working#rdfs:subClassOf",), ("http://x/a b",), ("http://x/working#BFO_0000015",), ("http://x/working#Fine",)], "iri STRING")
     assert {r.kind for r in G.malformed(names).collect()} == {"curie_in_fragment", "illegal_character", "upper_id_in_local_namespace"}
+
+
+def test_flat_keeps_every_field(spark):
+    entity = {"label": "a", "definition_status": "draft", "distinct_from": "b", "illustrative": True, "odd": [1]}
+    body = {"proposal": {"entities": [entity, "bare"], "relations": ["loose", {"s": "x", "extra": 2}]}}
+    log = spark.createDataFrame([(1, "propose", json.dumps(body))], "event_id BIGINT, event_type STRING, payload STRING")
+    one, two = nested.flat(log, "entities").orderBy("pos").collect()
+    assert (one.label, one.definition_status, one.distinct_from, one.illustrative, json.loads(one.rest)) == ("a", "draft", "b", "true", {"odd": [1]})
+    assert two.label is None and json.loads(two.rest) == "bare"
+    assert [json.loads(r.rest) for r in nested.flat(log, "relations").orderBy("pos").collect()] == ["loose", {"extra": 2}]
