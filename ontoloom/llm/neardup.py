@@ -14,15 +14,16 @@ each class is compared.
    at least tn tokens of either, so they share one that both are posted under,
    however frequent their tokens are. A posting carries n and the size u of the
    largest class that can still match if this token is the first shared one.
-3. *Collisions.* Lists are merged in order of coordinate value. Two classes that
-   meet are kept if their ``BITS`` one-bit coordinates, carried in the posting,
-   collide often enough: 4.5 standard deviations below what is expected of a
-   pair at the threshold, and 5.2 below it in the first half of the bits.
+3. *Collisions.* Lists are merged in order of coordinate value, and within a list
+   in order of size, so that sizes out of reach are skipped. A posting carries a
+   signature of ``BITS`` coordinates, each the parity of the tokens that hash to
+   it. Two classes differ in at least as many tokens as coordinates, so a pair at
+   the threshold collides in all but (1-t)/(1+t)(n+m) of them at most: the match
+   threshold loses nothing. Where that bound says little (n + m above ``LONG``)
+   ``BITS`` one-bit min-hashes are counted instead, with a bound 5.2 standard
+   deviations below what is expected at the threshold (one pair in ten million).
 4. *Exact check* on the token sets of the pairs that are left.
 
-Every pair at the threshold meets; step 3 alone loses one with a chance of about
-4 in a million.
-
 A list longer than ``TOGETHER`` times ``hot`` is not merged in one task: it is cut
 into blocks of ``hot``, and blocks meet blocks in tasks of their own. No list and
 no pair is dropped. Where all tokens are frequent the comparisons grow with the
@@ -43,9 +44,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import small, written
+from ..session import written
 
-BITS, TOGETHER = 256, 16
+BITS, LONG, TOGETHER, PER_TASK = 128, 290, 16, 2_000_000
+#: Two words of parities, two of one-bit min-hashes (zero in classes too short to need them).
 SIGNATURE = ("s1", "s2", "s3", "s4")
 SEED = 20261
 POSTING = "value BIGINT, rep BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, s4 BIGINT, n INT, u INT"
@@ -78,14 +80,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _signatures(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The words of SIGNATURE of the classes whose tokens lie one after another in ``flat``."""
+    base = _mix(flat.view(np.uint64))
+    bit, low = base & np.uint64(63), (base >> np.uint64(6)) & np.uint64(1)
+    one = np.uint64(1) << bit
+    words = [np.bitwise_xor.reduceat(np.where(low == w, one, np.uint64(0)), starts) for w in (np.uint64(0), np.uint64(1))]
+    hashed = [np.zeros(len(starts), dtype=np.uint64) for _ in range(2)]
+    far = np.flatnonzero(lens * (1 + 1 / threshold) > LONG)
+    if len(far):
+        rng = np.random.default_rng(SEED)
+        mult = rng.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
+        add = rng.integers(0, 2**63, BITS, dtype=np.uint64)
+        for k in far:
+            own = base[starts[k] : starts[k] + lens[k]]
+            for j in range(BITS):
+                hashed[j // 64][k] |= (_mix((own * mult[j] + add[j]).min()) & np.uint64(1)) << np.uint64(j % 64)
+    return [w.view(np.int64) for w in (*words, *hashed)]
+
+
 def _post(skipped: object, threshold: float) -> object:
     """Postings of each class; ``skipped`` is the broadcast of the frequent tokens
     and their places in the order."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(SEED)
-        mult = rng.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
-        add = rng.integers(0, 2**63, BITS, dtype=np.uint64)
         frequent, places = skipped.value
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -100,11 +118,7 @@ def _post(skipped: object, threshold: float) -> object:
                     if len(frequent):
                         near = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
                         place = np.where(frequent[near] == flat, places[near], 0)
-                    base = _mix(flat.view(np.uint64))
-                    sig = np.zeros((BITS // 64, size), dtype=np.uint64)
-                    for j in range(BITS):
-                        h = base * mult[j] + add[j]
-                        sig[j // 64] |= (_mix(np.minimum.reduceat(h, starts)) & np.uint64(1)) << np.uint64(j % 64)
+                    words = _signatures(flat, starts, lens, threshold)
                     first = lens - np.ceil(threshold * lens - 1e-9).astype(np.int64) + 1
                     order = np.lexsort((flat, place, row))
                     passed = np.arange(len(flat)) - np.repeat(starts, lens)
@@ -113,53 +127,64 @@ def _post(skipped: object, threshold: float) -> object:
                     at = row[posted]
                     n = lens[at]
                     u = np.floor((n - passed) * (1 + threshold) / threshold + 1e-6).astype(np.int64) - n
-                    yield pd.DataFrame({"value": flat[posted], "rep": rep[at], **{c: sig[k].view(np.int64)[at] for k, c in enumerate(SIGNATURE)}, "n": n.astype(np.int32), "u": u.astype(np.int32)})
+                    yield pd.DataFrame({"value": flat[posted], "rep": rep[at], **{c: w[at] for c, w in zip(SIGNATURE, words)}, "n": n.astype(np.int32), "u": u.astype(np.int32)})
 
     return post
 
 
-def least_match(threshold: float, sigmas: float = 4.5, bits: int = BITS) -> int:
-    """The match threshold of the one-bit coordinates."""
+def least_match(threshold: float, sigmas: float = 5.2, bits: int = BITS) -> int:
+    """The match threshold of the one-bit min-hashes."""
     p = (1 + threshold) / 2
     return math.floor(bits * p - sigmas * math.sqrt(bits * p * (1 - p)))
 
 
-def _differ(words: list[np.ndarray], i: object, j: object) -> np.ndarray:
-    """In how many bits the rows i and j differ."""
-    return sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int16) for w in words)
-
-
-def _merge(least: int, half: int, hot: int) -> object:
+def _merge(threshold: float, hot: int) -> object:
     """Merges posting lists that arrive sorted by value and rep. Gives pairs
-    (value null), and the postings of lists longer than ``hot`` (b null). Of the
-    first half of the bits ``half`` must match, of all ``least``."""
+    (value null), and the postings of lists longer than ``hot`` (b null)."""
+    share, most_hashed = (1 - threshold) / (1 + threshold), BITS - least_match(threshold)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def alike(words: list, n: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which of the pairs (i, j), already near by their first word, stay."""
+            both = n[i] + n[j]
+            differ = np.bitwise_count(words[0][i] ^ words[0][j]).astype(np.int16) + np.bitwise_count(words[1][i] ^ words[1][j])
+            ok = (differ <= share * both + 1e-6) & (n[i] <= u[j]) & (n[j] <= u[i])
+            if (both > LONG).any():
+                differ = np.bitwise_count(words[2][i] ^ words[2][j]).astype(np.int16) + np.bitwise_count(words[3][i] ^ words[3][j])
+                ok &= (both <= LONG) | (differ <= most_hashed)
+            return ok
+
         def pairs(lists: pd.DataFrame) -> pd.DataFrame:
-            lists = lists.sort_values(["value", "n"], kind="stable")
-            value, rep, n, u = (lists[c].to_numpy() for c in ("value", "rep", "n", "u"))
-            words = [lists[c].to_numpy() for c in SIGNATURE]
-            most, most_half = BITS - least, BITS // 2 - half
+            order = np.lexsort((lists["n"].to_numpy(), lists["value"].to_numpy()))
+            value, rep, n, u = (lists[c].to_numpy()[order] for c in ("value", "rep", "n", "u"))
+            words = [lists[c].to_numpy()[order].view(np.uint64) for c in SIGNATURE]
             left, right = [rep[:0]], [rep[:0]]
             width, group = int(n.max()) + 1, np.cumsum(np.r_[0, value[1:] != value[:-1]])
             place = np.arange(len(value))
             end = np.searchsorted(group * width + n, group * width + np.clip(u, 0, width - 1), "right")
             count = np.maximum(end - place - 1, 0)
-            some = np.flatnonzero((count > 0) & (count <= 256))
-            for lo in range(0, len(some), 8192):
-                i = np.repeat(some[lo : lo + 8192], count[some[lo : lo + 8192]])
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.r_[0, np.cumsum(count[some[lo : lo + 8192]])[:-1]], count[some[lo : lo + 8192]])
-                ok = (_differ(words, i, j) <= most) & (n[i] <= u[j])
+            some = np.flatnonzero((count > 0) & (count <= 64))
+            for lo in range(0, len(some), 16384):
+                at = some[lo : lo + 16384]
+                i = np.repeat(at, count[at])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+                ok = alike(words, n, u, i, j)
                 left.append(rep[i[ok]])
                 right.append(rep[j[ok]])
-            for i in np.flatnonzero(count > 256):
-                to = slice(i + 1, end[i])
-                near = np.bitwise_count((words[0][to] ^ words[0][i]).view(np.uint64)) + np.bitwise_count((words[1][to] ^ words[1][i]).view(np.uint64))
-                ok = i + 1 + np.flatnonzero(near <= most_half)
-                ok = ok[(_differ(words, ok, i) <= most) & (n[i] <= u[ok])]
-                if len(ok):
-                    left.append(np.full(len(ok), rep[i]))
-                    right.append(rep[ok])
+            many, first = np.flatnonzero(count > 64), words[0]
+            for lo in range(0, len(many), 32):
+                # Rows of one list that follow each other, against all they can reach.
+                for at in np.split(many[lo : lo + 32], np.flatnonzero(np.diff(group[many[lo : lo + 32]])) + 1):
+                    low, high = int(at[0]) + 1, int(end[at].max())
+                    most = int(share * (int(n[at[-1]]) + int(n[high - 1])) + 1e-6)
+                    near = np.bitwise_count(first[at, None] ^ first[None, low:high]) <= most
+                    r, c = np.nonzero(near)
+                    i, j = at[r], c + low
+                    inside = (j > i) & (j < end[i])
+                    i, j = i[inside], j[inside]
+                    ok = alike(words, n, u, i, j)
+                    left.append(rep[i[ok]])
+                    right.append(rep[j[ok]])
             out = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
             return out.assign(value=pd.Series(np.nan, index=out.index, dtype="Int64"), **dict.fromkeys(SIGNATURE, np.int64(0)), n=np.int32(0), u=np.int32(0))[["value", "a", "b", *SIGNATURE, "n", "u"]]
 
@@ -184,7 +209,8 @@ def _merge(least: int, half: int, hot: int) -> object:
                 if (sizes > hot).any():
                     yield long_list(done[sizes > hot])
                     done = done[sizes <= hot]
-                yield pairs(done)
+                if len(done):
+                    yield pairs(done)
             if last == hot_value or len(rest) > hot:
                 hot_value = last
                 yield long_list(rest)
@@ -195,7 +221,7 @@ def _merge(least: int, half: int, hot: int) -> object:
     return merge
 
 
-def _blocks(long_lists: DataFrame, least: int, block: int) -> DataFrame:
+def _blocks(long_lists: DataFrame, threshold: float, block: int) -> DataFrame:
     """Pairs within long lists: each list is cut into blocks of about ``block``
     rows by a hash of the rep; each row goes to the cells (its block, any) and
     (any, its block) of the upper triangle, and a cell is one join key."""
@@ -206,11 +232,13 @@ def _blocks(long_lists: DataFrame, least: int, block: int) -> DataFrame:
     cells = cells.withColumns({"lo": F.least("own", "i"), "hi": F.greatest("own", "i")})
     left = cells.select("value", "lo", "hi", "own", F.col("rep").alias("a"), *SIGNATURE, "n", "u")
     right = cells.select("value", "lo", "hi", F.col("own").alias("own2"), F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in SIGNATURE], F.col("n").alias("m"), F.col("u").alias("v"))
-    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE)
+    differ = lambda *names: sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names)
+    both, share = F.col("n") + F.col("m"), (1 - threshold) / (1 + threshold)
+    near = (differ("s1", "s2") <= share * both + 1e-6) & ((both <= LONG) | (differ("s3", "s4") <= BITS - least_match(threshold)))
     apart = (F.col("own") != F.col("own2")) | (F.col("lo") == F.col("hi"))
     return (
         left.join(right, ["value", "lo", "hi"])
-        .where(apart & (F.col("a") < F.col("b")) & (F.col("n") <= F.col("v")) & (F.col("m") <= F.col("u")) & (F.lit(BITS) - differ >= least))
+        .where(apart & (F.col("a") < F.col("b")) & (F.col("n") <= F.col("v")) & (F.col("m") <= F.col("u")) & near)
         .select("a", "b")
     )
 
@@ -221,7 +249,7 @@ def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = sets.select("key", "h1", "h2").distinct()
     reps = keys.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     members = written(keys.join(reps, ["h1", "h2"]).select("rep", "key"))
-    copies = small(members.where(F.col("key") != F.col("rep")).select("key"), 1_000_000)
+    copies = members.where(F.col("key") != F.col("rep")).select("key")
     return members, sets.join(copies, "key", "left_anti")
 
 
@@ -238,19 +266,20 @@ def similar_classes(sets: DataFrame, threshold: float, skip: int = 32, skip_toke
     )
     by_hash = np.argsort(frequent)
     skipped = spark.sparkContext.broadcast((frequent[by_hash], (len(frequent) - by_hash).astype(np.int32)))
-    least, half = least_match(threshold), least_match(threshold, 5.2, BITS // 2)
     posts = sets.select("key", "tokens").mapInPandas(_post(skipped, threshold), POSTING)
+    tokens = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens * (1 - threshold) / PER_TASK))
     merged = written(
-        posts.repartition("value").sortWithinPartitions("value", "rep")
-        .mapInPandas(_merge(least, half, TOGETHER * hot), MERGED)
+        posts.repartition(tasks, "value").sortWithinPartitions("value", "rep")
+        .mapInPandas(_merge(threshold, TOGETHER * hot), MERGED)
     )
     met = merged.where(F.col("b").isNotNull()).select("a", "b")
     long_lists = merged.where(F.col("b").isNull())
     if not long_lists.isEmpty():
-        met = met.unionAll(_blocks(long_lists, least, hot))
+        met = met.unionAll(_blocks(long_lists, threshold, hot))
     met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = sets.select("key", "tokens").join(small(ids, 2_000_000), "key", "left_semi").dropDuplicates(["key"])
+    sets = sets.select("key", "tokens").join(ids, "key", "left_semi").dropDuplicates(["key"])
     one, two = sets.toDF("a", "ta"), sets.toDF("b", "tb")
     return written(
         met.join(one, "a").join(two, "b")
