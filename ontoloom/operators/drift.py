@@ -6,9 +6,12 @@
 2. Consecutive files are compared field by field.
 3. Where a level has both lost and won fields, the values of just those fields
    are compared over the jobs that both files hold: equal values are a rename.
-4. Types are folded through a promotion lattice (null < boolean, integer <
-   number < string; containers and any other mix are JSON text), and all records
-   are cast to the union of all fields under the name each field had first.
+4. All types that a field has anywhere are folded through a promotion lattice (null
+   < boolean; null < integer < number; all others, and any other mix, are text), and
+   all records are cast to the union of all fields under the name each field had
+   first. No cast loses a value: integers stay integers up to 64 bits, those beyond
+   53 bits are never made floating, and what has no common type is kept as its
+   JSON text.
 
 Defined cases: lines that are no JSON object are no records; a file without any
 valid record still exists, but has no fields; claims may be an array, an object
@@ -90,6 +93,14 @@ def json_type(value: object) -> str | None:
     return "string" if isinstance(value, str) else "array" if isinstance(value, list) else "object"
 
 
+def narrow_type(value: object) -> str | None:
+    """The JSON type, numbers by size: what a double holds exactly, what 64 bits
+    hold, and what neither does."""
+    if isinstance(value, int) and not isinstance(value, bool):
+        return "integer" if abs(value) <= 2**53 else "long" if -(2**63) <= value < 2**63 else "huge"
+    return json_type(value)
+
+
 def levels(job: dict) -> Iterator[tuple[str, str, dict]]:
     """(level, key of the entity within its job, fields) of all entities."""
     yield "job", "", job
@@ -110,20 +121,19 @@ def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             job = load(record)
             for level, _, fields in levels(job) if job is not None else ():
                 for name, value in fields.items():
-                    key = (stream, file_no, level, name, json_type(value))
-                    seen[key] = seen.get(key, 0) + 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=[*FILE, "level", "field", "type", "n"])
+                    seen[stream, file_no, level, name, narrow_type(value)] = 1
+        yield pd.DataFrame(list(seen), columns=[*FILE, "level", "field", "type"])
 
 
 def file_schemas(exports: DataFrame) -> DataFrame:
-    """(stream, file_no, level, field, type): the folded schema of each file; a
-    row with an empty level stands for the file. The type is the most frequent
-    one, null aside."""
+    """(stream, file_no, level, field, type, types): the folded schema of each file;
+    a row with an empty level stands for the file. ``types`` are all narrow types
+    of its values, ``type`` names all their JSON types; null, where all are null."""
     rows = exports.where(F.col("stream").isNotNull() & F.col("file_no").isNotNull()).select(*FILE, "record")
-    counted = rows.mapInPandas(_fields, "stream STRING, file_no INT, level STRING, field STRING, type STRING, n BIGINT")
-    counted = counted.groupBy(*FILE, "level", "field", "type").agg(F.sum("n").alias("n"))
-    best = F.max_by("type", F.struct(F.when(F.col("type").isNotNull(), F.col("n")).alias("n"), "type"))
-    return written(counted.groupBy(*FILE, "level", "field").agg(best.alias("type")))
+    seen = rows.mapInPandas(_fields, "stream STRING, file_no INT, level STRING, field STRING, type STRING")
+    json_types = F.array_sort(F.collect_set(F.when(F.col("type").isin("integer", "long", "huge"), "number").otherwise(F.col("type"))))
+    folded = seen.groupBy(*FILE, "level", "field").agg(F.collect_set("type").alias("types"), F.nullif(F.array_join(json_types, "|"), F.lit("")).alias("type"))
+    return written(folded)
 
 
 def file_pairs(schemas: DataFrame) -> DataFrame:
@@ -213,37 +223,36 @@ def drift(exports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- one table
 
-LATTICE = {"boolean": "BOOLEAN", "number": "DOUBLE", "string": "STRING"}
+#: From the narrowest: what a kind of column holds without loss.
+LATTICE = [("BOOLEAN", {"boolean"}), ("BIGINT", {"integer", "long"}), ("DOUBLE", {"integer", "number"})]
 
 
 def promote(types: set[str]) -> str:
-    """The least type of the lattice that holds all of them."""
-    return LATTICE.get(next(iter(types)), "STRING") if len(types) == 1 else "STRING"
+    """The least kind of the lattice that holds all of the types; the top is text."""
+    return next((kind for kind, held in LATTICE if types <= held), "STRING")
 
 
 def first_names(renamed: DataFrame) -> DataFrame:
     """(stream, since, level, field, first): the name a field had before all its
-    renames, valid from file ``since``. Chains of renames are followed by joins
-    over the renames alone."""
+    renames, valid from file ``since``. Each rename points to the one before it;
+    pointers are doubled until none is left, over the renames alone."""
+    key = ["stream", "since", "level", "field"]
     steps = renamed.select("stream", F.col("file_no").alias("since"), "level", F.col("new_field").alias("field"), F.col("field").alias("first"))
-    names = steps
-    for _ in range(32):
-        back = steps.select("stream", "level", F.col("field").alias("first"), F.col("first").alias("older"), F.col("since").alias("at"))
-        joined = names.join(back, ["stream", "level", "first"], "left").where(F.col("at").isNull() | (F.col("at") < F.col("since")))
-        longer = written(joined.groupBy("stream", "since", "level", "field").agg(F.max_by(F.coalesce("older", "first"), F.coalesce("at", F.lit(-1))).alias("first")))
-        if longer.exceptAll(names).isEmpty():
-            return longer
-        names = longer
-    return names
+    back = steps.select("stream", "level", F.col("field").alias("first"), F.col("since").alias("at"))
+    names = written(steps.join(back, ["stream", "level", "first"], "left").groupBy(*key, "first").agg(F.max(F.when(F.col("at") < F.col("since"), F.col("at"))).alias("at")))
+    while not names.where("at is not null").isEmpty():
+        onward = names.select("stream", "level", F.col("since").alias("at"), F.col("field").alias("first"), F.col("first").alias("older"), F.col("at").alias("further"))
+        names = written(names.join(onward, ["stream", "level", "at", "first"], "left").select(*key, F.coalesce("older", "first").alias("first"), F.col("further").alias("at")))
+    return names.drop("at")
 
 
 def _cast(value: object, kind: str) -> object:
     if value is None:
         return None
-    if kind == "BOOLEAN":
-        return value if isinstance(value, bool) else None
     if kind == "DOUBLE":
-        return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+        return float(value)
+    if kind in ("BOOLEAN", "BIGINT"):
+        return value
     return value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
@@ -253,9 +262,13 @@ def unified(exports: DataFrame, max_columns: int = 5000) -> DataFrame:
     names and types of the columns only, at most ``max_columns``."""
     schemas, _, renamed = drift(exports)
     names = first_names(renamed)
-    at = schemas.where((F.col("level") != "")).join(names, ["stream", "level", "field"], "left").where(F.col("since").isNull() | (F.col("since") <= F.col("file_no")))
-    named = at.groupBy(*FILE, "level", "field").agg(F.coalesce(F.max_by("first", "since"), F.col("field")).alias("name"), F.first("type").alias("type"))
-    typed = named.where(F.col("type").isNotNull()).groupBy("level", "name").agg(F.collect_set("type").alias("types")).limit(max_columns + 1).collect()
+    at = schemas.where(F.col("level") != "").join(names, ["stream", "level", "field"], "left")
+    first = F.max_by("first", F.when(F.col("since") <= F.col("file_no"), F.col("since")))
+    named = at.groupBy(*FILE, "level", "field").agg(F.coalesce(first, F.col("field")).alias("name"), F.first("types").alias("types"))
+    # A new field under a name that a renamed one still bears takes a column of its own.
+    turn = F.row_number().over(Window.partitionBy(*FILE, "level", "name").orderBy(F.col("name") == F.col("field"), "field"))
+    named = named.withColumn("turn", turn).withColumn("name", F.when(F.col("turn") > 1, F.concat_ws("__", "name", F.col("turn").cast("string"))).otherwise(F.col("name")))
+    typed = named.select("level", "name", F.explode("types").alias("type")).groupBy("level", "name").agg(F.collect_set("type").alias("types")).limit(max_columns + 1).collect()
     if len(typed) > max_columns:
         raise ValueError(f"more than {max_columns} columns")
     kinds = {(r["level"], r["name"]): promote(set(r["types"])) for r in typed if (r["level"], r["name"]) != ("claim", "proposal")}

@@ -9,7 +9,7 @@ from ..sources.tables import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.bridge(table(spark, sf_dir, "session_log")).where("child <> 'proposals'").select("event_id", "child", "pos", "sub_pos")
+    return nested.children(table(spark, sf_dir, "session_log"))
 
 
 def p4_flat(child: str):

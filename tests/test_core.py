@@ -49,6 +49,39 @@ def test_proposals_keep_places(spark):
     assert nested.bridge(log.limit(0)).count() == 0
 
 
+def test_several_proposals_and_deep_objects(spark):
+    entity = {"label": "A", "evidence": [{"page": 1}, None, {"page": 1}], "possible_relations": [{"s": 1}]}
+    body = {"proposal": [{"proposal_id": "p", "entities": [entity]}, None, {"proposal_id": "q", "entities": [entity, 7]}]}
+    deep = "[" * 100000
+    log = spark.createDataFrame([(1, "propose", json.dumps(body)), (1, "propose", json.dumps(body)), (2, "propose", deep), (None, "propose", json.dumps(body))], "event_id BIGINT, event_type STRING, payload STRING")
+    rows = nested.bridge(log).collect()
+    by_path = {r.path: r for r in rows}
+    assert len(by_path) == len(rows) == 2 + 3 + 4 + 2
+    assert all(r.parent_path == "" or by_path[r.parent_path].node == r.parent for r in rows)
+    assert {(r.proposal_pos, r.pos) for r in rows if r.child == "entities"} == {(0, 0), (2, 0), (2, 1)}
+    assert {(r.path, r.proposal_pos) for r in rows if r.child == "entities.evidence"} == {(f"proposal[{p}].entities[0].evidence[{i}]", p) for p in (0, 2) for i in (0, 2)}
+    stored = {r.content: r for r in nested.objects(log).collect()}
+    assert stored['{"page": 1}'].places == 4 and len([c for c in stored if '"$node"' in c]) == 1
+    assert {tuple(r) for r in nested.children(log).collect()} == {(1, "entities", 0, -1), (1, "entities", 1, -1), (1, "possible_relations", 0, 0)}
+    assert [r.rest for r in nested.flat(log, "entities").where("pos = 1").collect()] == ["7"]
+
+
+def test_unified_keeps_every_value(spark):
+    big = 9007199254740993
+    jobs = [{"n": 1, "b": True, "x": 1, "y": big, "z": 2**70}, {"n": "three", "b": 0, "x": 1.5, "y": 0.5, "z": 1}, {"n": [1], "b": None, "x": 2, "y": 1, "z": 1}]
+    rows = [("s", 1, json.dumps({"job_id": f"j{i}", "big": big, **j}), 0) for i, j in enumerate(jobs)]
+    got = {r.job_job_id: r for r in drift.unified(spark.createDataFrame(rows + rows[:1], "stream STRING, file_no INT, record STRING, types INT")).collect()}
+    assert [got[f"j{i}"].job_n for i in range(3)] == ["1", "three", "[1]"] and [got[f"j{i}"].job_b for i in range(3)] == ["true", "0", None]
+    assert [got[f"j{i}"].job_x for i in range(3)] == [1.0, 1.5, 2.0] and {r.job_big for r in got.values()} == {big}
+    assert got["j0"].job_y == str(big) and got["j0"].job_z == str(2**70)
+
+
+def test_long_rename_chains(spark):
+    rows = [("s", i + 1, "job", f"f{i}", f"f{i + 1}") for i in range(1, 80)] + [("t", 2, "job", "a", "b"), ("t", 3, "job", "b", "a")]
+    got = {(r.stream, r.since, r.field): r["first"] for r in drift.first_names(spark.createDataFrame(rows, "stream STRING, file_no INT, level STRING, field STRING, new_field STRING")).collect()}
+    assert got["s", 80, "f80"] == "f1" and got["t", 3, "a"] == "a" and len(got) == 81
+
+
 def test_drift(spark):
     def job(i, **more):
         claims = [{"id": 0, "claim": "c", "source_quote": f"q{i}", "proposal": {"proposal_id": "p", "gate_outcome": "ok"}}]
