@@ -1,16 +1,18 @@
 """Encoding of a corpus with a public byte-level BPE by a distinct-word table.
 
-1. Words are split in the JVM with the vocabulary's own pattern; BPE never merges
-   across words, so a text's ids are its words' ids in order.
-2. Each distinct word is encoded once. The words are counted with map-side
-   aggregation, the ``head`` most frequent ones (a bound on what is broadcast) are
-   encoded into a table that all tasks share, and each text is looked up by
-   position.
-3. Words beyond the head are joined back: their occurrences (doc, position) meet
-   the encoded distinct words in a shuffle join, and each text takes its own.
-   With a head that holds all words there are none, and the join is left out.
-
-Decoding is a join of the positions with the id-to-piece table.
+1. *Words.* Texts are split in the JVM with the vocabulary's own pattern; BPE never
+   merges across words, so a text's ids are its words' ids in order.
+2. *Pages.* Some hundred texts form a page, which holds its distinct words once and
+   its texts as positions in that list. Pages are written, so that their numbers
+   outlive a lost executor.
+3. *Distinct words.* The words of all pages are made distinct with map-side
+   aggregation, and each is encoded once.
+4. *Join by position.* (page, position, word) meets (word, ids); each page takes its
+   words' ids back in the order of positions, and its texts look theirs up.
+
+Nothing is broadcast or collected but the vocabulary, which has a fixed size. A word
+that all pages have is as many rows as there are pages, which adaptive execution
+splits. Decoding is a join of the positions with the id-to-piece table.
 
 Defined ids: null and empty texts have no ids (an empty list). Strings of special
 tokens are ordinary text."""
@@ -27,10 +29,15 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: A page is full with so many texts, or with the text that reaches so many words.
+PAGE_TEXTS, PAGE_WORDS = 512, 200_000
 
 # Fixed value: the splitting pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,15 +70,10 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
 
 
-# ---------------------------------------------------------------- words
-
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(word, n): the distinct words, counted where they are read."""
-    return documents.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
+# ---------------------------------------------------------------- encoding
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): each distinct word encoded once."""
+    """(word, ids): each of the distinct words encoded once."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoding(path)
@@ -81,76 +83,72 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").mapInPandas(encode, "word STRING, ids ARRAY<INT>")
 
 
-def _flat(words: list[str], ids: list) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    lens = np.array([len(i) for i in ids], dtype=np.int64)
-    flat = np.concatenate([np.asarray(i, dtype=np.int32) for i in ids]) if len(ids) else np.zeros(0, dtype=np.int32)
-    return {w: k for k, w in enumerate(words)}, np.concatenate(([0], np.cumsum(lens))), flat
+def _lengths(column: pa.Array) -> np.ndarray:
+    return np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
 
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def _lookup(table: object, keep: tuple[str, ...] = ()) -> object:
-    """Texts as words to (doc_id, ids, unknown): a word that the table lacks
-    leaves -1 in its place and is given, in order, in ``unknown``."""
 
-    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, starts, flat = table.value
-        starts_x, flat_x = np.append(starts, starts[-1] + 1), np.append(flat, np.int32(-1))
+def _paged(keep: tuple[str, ...], texts: int, words: int):
+    """Texts as words to pages: the texts' keys and numbers of words, all their words
+    as positions in the page's list, and that list."""
+
+    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = TaskContext.get().partitionId() << 33
         for batch in batches:
-            column = batch.column("words")
-            values, offsets = column.flatten(), np.zeros(len(column) + 1, dtype=np.int64)
-            offsets[1:] = np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-            coded = values.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            known = np.array([index.get(w, len(starts) - 1) for w in distinct], dtype=np.int64)
-            at = known[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(distinct) else np.zeros(0, dtype=np.int64)
-            lens = starts_x[at + 1] - starts_x[at]
-            ends = np.concatenate(([0], np.cumsum(lens)))
-            ids = flat_x[np.repeat(starts_x[at] - ends[:-1], lens) + np.arange(ends[-1])]
-            lacking = at == len(starts) - 1
-            missing = np.concatenate(([0], np.cumsum(lacking)))[offsets]
-            unknown = values.filter(pa.array(lacking))
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "ids": pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(ids, pa.int32())),
-                    "unknown": pa.ListArray.from_arrays(pa.array(missing.astype(np.int32)), unknown.cast(pa.string())),
-                    **{c: batch.column(c) for c in keep},
+            lens = _lengths(batch.column("words"))
+            upto, low = np.cumsum(lens), 0
+            while low < len(lens):
+                before = int(upto[low] - lens[low])
+                high = min(low + texts, len(lens), int(np.searchsorted(upto, before + words)) + 1)
+                column = batch.column("words").slice(low, high - low)
+                coded = column.flatten().dictionary_encode()
+                row = {
+                    "page": pa.array([page], pa.int64()), "doc_ids": _one_list(batch.column("doc_id").slice(low, high - low)), "lens": _one_list(pa.array(lens[low:high].astype(np.int32))),
+                    "codes": _one_list(coded.indices.cast(pa.int32())), "words": _one_list(coded.dictionary.cast(pa.string())),
                 }
-            )
-
-    return lookup
+                yield pa.record_batch(row | {c: _one_list(batch.column(c).slice(low, high - low)) for c in keep})
+                low, page = high, page + 1
 
+    return paged
 
-def _fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Puts the ids of the joined words in the places that are left."""
-    for batch in batches:
-        out = []
-        for ids, found in zip(batch["ids"], batch["found"]):
-            if found is None or not len(found):
-                out.append(ids)
-                continue
-            words = iter([f["ids"] for f in sorted(found, key=lambda f: f["pos"])])
-            out.append([i for one in ids for i in (next(words) if one == -1 else (one,))])
-        yield batch.drop(columns=["ids", "found"]).assign(ids=out)
 
+def _looked_up(keep: tuple[str, ...]):
+    """Each page's texts with the ids of their words, from the page's ids by position."""
 
-def token_ids(documents: DataFrame, head: int = 200_000, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = {c: batch.column(c)[k].values for c in ("doc_ids", "lens", "codes", *keep)}
+                held = batch.column("ids")[k].values
+                width = _lengths(held) if held is not None else np.zeros(0, dtype=np.int64)
+                flat = held.flatten().to_numpy() if held is not None else np.zeros(0, dtype=np.int32)
+                begin, codes = np.cumsum(width) - width, part["codes"].to_numpy()
+                sizes = width[codes]
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                ids = flat[np.repeat(begin[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+                offsets = ends[np.concatenate(([0], np.cumsum(part["lens"].to_numpy())))]
+                yield pa.record_batch(
+                    {"doc_id": part["doc_ids"], "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))} | {c: part[c] for c in keep}
+                )
+
+    return looked_up
+
+
+def token_ids(documents: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = (), page_texts: int = PAGE_TEXTS, page_words: int = PAGE_WORDS) -> DataFrame:
     """(doc_id, ids) of ``documents(doc_id, text)``, one row a document, with the
     string columns ``keep`` carried along."""
-    spark: SparkSession = documents.sparkSession
     path = vocabulary or f"{vocabulary_folder()}/{VOCABULARY}"
-    texts = documents.select("doc_id", "text", *keep)
-    counts = word_counts(texts)
-    top = encode_words(counts.orderBy(F.desc("n"), "word").limit(head), path).toPandas()
-    table = spark.sparkContext.broadcast(_flat(top["word"].tolist(), top["ids"].tolist()))
-    kept = "".join(f", {c} STRING" for c in keep)
-    split = texts.select("doc_id", *keep, F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    coded = split.mapInArrow(_lookup(table, keep), "doc_id BIGINT, ids ARRAY<INT>, unknown ARRAY<STRING>" + kept)
-    if len(top) < head:
-        return coded.select("doc_id", "ids", *keep)
-    rare = coded.select("doc_id", F.posexplode("unknown").alias("pos", "word"))
-    tail = encode_words(rare.select("word").distinct(), path)
-    found = rare.join(tail, "word").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
-    return coded.join(found, "doc_id", "left").select("doc_id", "ids", "found", *keep).mapInPandas(_fill, "doc_id BIGINT, ids ARRAY<INT>" + kept)
+    split = documents.select("doc_id", *keep, F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    lists = "".join(f", {c} ARRAY<STRING>" for c in keep)
+    pages = written(split.mapInArrow(_paged(keep, page_texts, page_words), "page BIGINT, doc_ids ARRAY<BIGINT>, lens ARRAY<INT>, codes ARRAY<INT>, words ARRAY<STRING>" + lists))
+    places = pages.select("page", F.posexplode("words").alias("pos", "word"))
+    encoded = encode_words(pages.select(F.explode("words").alias("word")).distinct(), path)
+    back = places.join(encoded, "word").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("o"))
+    joined = pages.drop("words").join(back.select("page", F.col("o.ids").alias("ids")), "page", "left")
+    return joined.mapInArrow(_looked_up(keep), "doc_id BIGINT, ids ARRAY<INT>" + "".join(f", {c} STRING" for c in keep))
 
 
 # ---------------------------------------------------------------- decoding

@@ -1,10 +1,11 @@
 """Mixing sources to target shares of the tokens.
 
 1. *Blocks.* Each distinct text of a listed source is encoded once and belongs to
-   the document with the smallest doc_id that has it. A source's texts are
-   packed, as they are stored, into blocks of ``block`` tokens (its last one may
-   be shorter). Offsets are prefix sums in two levels, within the tasks that
-   encode and over these tasks, so that no task sees a whole source.
+   the document with the smallest doc_id that has it. A source's texts are ordered
+   by a hash of their doc_id, whatever files they lie in, and packed into blocks of
+   ``block`` tokens (its last one may be shorter). Offsets are prefix sums in two
+   levels, over buckets of hashes of about ``BUCKET`` tokens and within them, so
+   that no task sees a whole source.
 2. *Slots.* The mix has as many block slots as the scarcest source allows when its
    blocks are repeated up to its cap. Each output shard draws its source counts:
    multinomial, given that the counts of all shards add up to the targets. A shard
@@ -25,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small, written
+from ..session import settled
 from .encode import token_ids
 
-BLOCK, SHARD, SEED = 128, 512, 41
+BLOCK, SHARD, BUCKET, SEED = 128, 512, 1 << 20, 41
+PART = "source STRING, block BIGINT, start BIGINT, whole BOOLEAN, ids ARRAY<INT>"
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -94,43 +95,43 @@ def encoded_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "source").join(F.broadcast(listed), "source")
     named = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text", F.lit(3)).alias("h2"), F.length("text").alias("n"))
     first = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    copies = written(named.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("first")).select("doc_id"))
-    own = texts.join(small(copies, 1_000_000), "doc_id", "left_anti")
-    return written(token_ids(own, keep=("source",)).mapInArrow(_offsets, "doc_id BIGINT, source STRING, ids ARRAY<INT>, part INT, inner BIGINT"))
-
-
-def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the task's number and each text's offset among its source's tokens
-    within the task: the first level of the prefix sums, made while texts pass."""
-    part, reached = TaskContext.get().partitionId(), {}
-    for batch in batches:
-        lens = np.nan_to_num(batch.column("ids").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        coded = batch.column("source").dictionary_encode()
-        codes, inner = coded.indices.to_numpy(zero_copy_only=False), np.zeros(len(lens), dtype=np.int64)
-        for code, name in enumerate(coded.dictionary.to_pylist()):
-            at = codes == code
-            upto = np.cumsum(lens[at])
-            inner[at] = reached.get(name, 0) + upto - lens[at]
-            reached[name] = reached.get(name, 0) + int(upto[-1])
-        yield pa.record_batch(
-            {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "ids": batch.column("ids"), "part": pa.array(np.full(len(lens), part, dtype=np.int32)), "inner": pa.array(inner)}
-        )
-
-
-def packed(encoded: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, block, ids): the blocks of each source. The second level of the
-    prefix sums has one row for each source and task."""
-    sums = encoded.groupBy("source", "part").agg(F.sum(F.size("ids")).alias("sum"))
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "part", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
-    placed = encoded.where(F.size("ids") > 0).join(small(sums, 1_000_000), ["source", "part"])
-    parts = placed.select("source", "ids", (F.col("ahead") + F.col("inner")).alias("start"))
-    parts = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("ids") - 1) / block))))
-    low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids"))
-    parts = parts.select("source", "block", "start", F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("start", "part")))
-    return parts.groupBy("source", "block").agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("ids"))
+    copies = named.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("first")).select("doc_id")
+    return settled(lambda: token_ids(texts.join(copies, "doc_id", "left_anti"), keep=("source",)))
+
+
+def _pack(block: int):
+    """The blocks and parts of blocks of a bucket, whose tokens begin ``ahead`` of
+    those of its source. A bucket has a bounded number of tokens."""
+
+    def pack(texts: pa.Table, place: pa.Table) -> pa.Table:
+        order = np.lexsort((texts["doc_id"].to_numpy(), texts["h"].to_numpy()))
+        ids = texts["ids"].combine_chunks().take(pa.array(order)).flatten().to_numpy()
+        ahead, source = place["ahead"][0].as_py(), place["of"][0].as_py()
+        first, last = ahead // block, (ahead + len(ids) - 1) // block
+        number = np.arange(first, last + 1)
+        low = np.maximum(number * block - ahead, 0)
+        high = np.minimum((number + 1) * block - ahead, len(ids))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(low, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.table({"source": pa.array([source] * len(number), pa.string()), "block": number, "start": ahead + low, "whole": high - low == block, "ids": lists})
+
+    return pack
+
+
+def packed(encoded: DataFrame, tokens: dict[str, int], block: int = BLOCK) -> DataFrame:
+    """(source, block, ids): the blocks of each source, whose ``tokens`` give the
+    number of its buckets. The ids are shuffled once; only the parts of the blocks
+    that lie across two buckets are brought together after that."""
+    spark = encoded.sparkSession
+    buckets = spark.createDataFrame([(s, max(1, n // BUCKET)) for s, n in tokens.items()], "source STRING, buckets BIGINT")
+    texts = encoded.where(F.size("ids") > 0).withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(buckets), "source")
+    texts = texts.select("doc_id", "source", "h", "ids", F.pmod("h", "buckets").alias("bucket"))
+    sums = texts.groupBy("source", "bucket").agg(F.sum(F.size("ids")).alias("sum"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("ahead"))
+    parts = texts.groupBy("source", "bucket").cogroup(sums.groupBy("of", "at")).applyInArrow(_pack(block), PART)
+    ordered = F.array_sort(F.collect_list(F.struct("start", "ids")))
+    edges = parts.where("not whole").groupBy("source", "block").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
+    return parts.where("whole").select("source", "block", "ids").unionAll(edges)
 
 
 def _slots(stats: pd.DataFrame, slots: int) -> object:
@@ -164,7 +165,7 @@ def mixed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     stats, slots = plan(targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
     shards = -(-slots // SHARD)
     drawn = spark.range(shards).repartition(max(1, min(shards // 16 + 1, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
-    mix = drawn.join(packed(encoded), ["source", "block"])
+    mix = drawn.join(packed(encoded, dict(zip(stats["source"], stats["tokens"].astype(int).tolist()))), ["source", "block"])
     return mix.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), encoded, stats
 
 

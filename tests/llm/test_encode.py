@@ -10,10 +10,10 @@ def documents(spark):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(TEXTS)], "doc_id BIGINT, text STRING, ids STRING, words STRING")
 
 
-@pytest.mark.parametrize("head", [200_000, 3])
-def test_ids_equal_the_tokenizer(documents, head):
+@pytest.mark.parametrize("texts, words", [(512, 200_000), (2, 200_000), (512, 3)])
+def test_ids_equal_the_tokenizer(documents, texts, words):
     coder = encode.encoding(f"{encode.vocabulary_folder()}/{encode.VOCABULARY}")
-    got = {r.doc_id: list(r.ids) for r in encode.token_ids(documents, head=head).collect()}
+    got = {r.doc_id: list(r.ids) for r in encode.token_ids(documents, page_texts=texts, page_words=words).collect()}
     assert got == {i: coder.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
 
 

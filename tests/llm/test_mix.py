@@ -39,7 +39,8 @@ def test_shares_and_caps(tables):
 def test_blocks_hold_every_token_once(tables):
     docs, targets = tables
     out, encoded, _ = mix.mixed(docs, targets)
-    blocks = mix.packed(encoded)
+    tokens = {r[0]: r[1] for r in encoded.groupBy("source").agg({"source": "count"}).collect()}
+    blocks = mix.packed(encoded, tokens)
     total = {r[0]: r[1] for r in encoded.groupBy("source").agg({"ids": "count"}).collect()}
     assert set(total) == {"a", "b", "c"}
     assert blocks.selectExpr("sum(size(ids))").first()[0] == encoded.selectExpr("sum(size(ids))").first()[0]
@@ -48,6 +49,22 @@ def test_blocks_hold_every_token_once(tables):
     assert out.select("shard", "slot").distinct().count() == out.count()
 
 
+def test_layout_and_buckets_do_not_matter(tables, monkeypatch):
+    docs, targets = tables
+    want = {(r.shard, r.slot): (r.source, r.block, tuple(r.ids)) for r in mix.mix(docs, targets).collect()}
+    other = {(r.shard, r.slot): (r.source, r.block, tuple(r.ids)) for r in mix.mix(docs.repartition(7, "text"), targets).collect()}
+    assert want == other
+    _, encoded, _ = mix.mixed(docs, targets)
+    for bucket in (300, 1 << 20):
+        monkeypatch.setattr(mix, "BUCKET", bucket)
+        blocks = mix.packed(encoded, {"a": 9000, "b": 4000, "c": 100}).collect()
+        assert len(blocks) == len({(r.source, r.block) for r in blocks})
+        sizes = {}
+        for r in blocks:
+            sizes.setdefault(r.source, {})[r.block] = len(r.ids)
+        assert all(sorted(v) == list(range(len(v))) and all(n == mix.BLOCK for b, n in v.items() if b + 1 < len(v)) for v in sizes.values())
+
+
 def test_empty(tables):
     docs, targets = tables
     assert mix.mix(docs.limit(0), targets).count() == 0
