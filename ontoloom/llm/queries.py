@@ -61,6 +61,11 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
 
 
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of the shared folder, in pieces of 2000 characters."""
+    return split.split_corpus(table(spark, sf_dir, "documents"), 2000, 200)
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_files": p3_files,
     "p5_found": p5_found,
     "p5_shares": p5_shares,
     "p7_ids": p7_ids,
