@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -83,11 +84,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def settled(build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` gives, written; the tables it wrote on the way are deleted."""
+    """What ``build`` gives, written; the tables it wrote on the way are deleted, and
+    so are the shuffle files that nothing refers to any more."""
     mark = len(_MADE)
     out = written(build())
     discard(*_MADE[mark:-1])
     _MADE[mark:] = [out]
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
     return out
 
 
