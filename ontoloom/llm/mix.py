@@ -165,7 +165,8 @@ def mixed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     stats, slots = plan(targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
     shards = -(-slots // SHARD)
     drawn = spark.range(shards).repartition(max(1, min(shards // 16 + 1, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
-    mix = drawn.join(packed(encoded, dict(zip(stats["source"], stats["tokens"].astype(int).tolist()))), ["source", "block"])
+    # A shuffle join at every size: the slots grow with the data.
+    mix = drawn.hint("merge").join(packed(encoded, dict(zip(stats["source"], stats["tokens"].astype(int).tolist()))), ["source", "block"])
     return mix.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), encoded, stats
 
 

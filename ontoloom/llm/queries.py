@@ -53,6 +53,14 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.forms(table(spark, sf_dir, "documents"))
 
 
+def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.look_groups(table(spark, sf_dir, "documents"))
+
+
+def p9_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.script_report(table(spark, sf_dir, "documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
 
@@ -90,6 +98,8 @@ QUERIES = {
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
+    "p9_groups": p9_groups,
+    "p9_scripts": p9_scripts,
 }
 
 SQL: dict[str, str] = {
