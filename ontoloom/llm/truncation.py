@@ -3,24 +3,26 @@
 Per source, histograms of the lengths in characters and in UTF-8 bytes are tested
 for a spike at a maximum: a length that holds at least ``LEAST`` values and at
 least ``RATIO`` times as many as the mean of the lengths near it, with almost none
-above. A value is cut off if it
+above. Two kinds of cuts are told apart:
 
-* ends in an ellipsis, a replacement character, an opened bracket, a dash, a cut
-  entity or a comma, or in an abbreviation whose number is missing, or
-* has a spike length and an end that is none (a number of a citation counts as
-  none there), or
-* ends without terminal punctuation and is neither a heading nor a list item.
+* ``field_limit``: a value at a spike length whose end is no end of a sentence.
+  There the length is the evidence, so neither the look of a heading nor a full
+  stop after the number of a citation makes it whole.
+* ``transfer``: a value of any other length. There the end alone is the evidence:
+  an ellipsis, a replacement character, an opened bracket, a dash, a cut entity or
+  a comma, an abbreviation whose number is missing, or no terminal punctuation in
+  what is no heading.
 
-Headings and list items that end with a semicolon, also followed by "and" or
-"or", are whole. Null and empty texts are no cases. Rows repeated with the same
-key count once."""
+List items that end with a semicolon, also followed by "and" or "or", are whole.
+The tests of the end look at the last 200 characters; no pattern reaches further.
+Null and empty texts are no cases. Rows repeated with the same key count once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import written
 
 LEAST, RATIO, NEAR, TAIL = 8, 6.0, 10, 0.02
 
@@ -68,30 +70,30 @@ def features(rows: DataFrame, kind: str, key: str, source: str, text: str) -> Da
     )
 
 
-def spikes(lengths: DataFrame, unit: str) -> DataFrame:
-    """(record_kind, source, unit): the lengths at which a source cuts. Windows
-    run over the histogram of a source, whose rows are lengths, not records."""
-    histogram = lengths.where(F.col(unit).isNotNull()).groupBy("record_kind", "source", unit).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("record_kind", "source")
-    near = F.sum("n").over(by.orderBy(unit).rangeBetween(-NEAR, NEAR)) - F.col("n")
-    above = F.sum("n").over(by.orderBy(unit).rangeBetween(1, Window.unboundedFollowing))
-    total = F.sum("n").over(by)
-    tested = histogram.withColumns({"near": near / (2 * NEAR), "above": F.coalesce(above, F.lit(0)), "total": total})
-    return tested.where((F.col("n") >= LEAST) & (F.col("n") >= RATIO * F.col("near")) & (F.col("above") <= TAIL * F.col("total"))).select("record_kind", "source", unit)
+def spikes(lengths: DataFrame) -> DataFrame:
+    """(record_kind, source, at_chars, at_bytes): the lengths at which a source cuts,
+    of both units in one histogram. Windows run over the histogram of a source, whose
+    rows are lengths, not records."""
+    units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
+    counted = lengths.where(F.col("chars").isNotNull()).groupBy("record_kind", "source", "chars", "bytes").agg(F.count("*").alias("n"))
+    histogram = counted.select("record_kind", "source", "n", units.alias("u")).groupBy("record_kind", "source", "u.unit", "u.length").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("record_kind", "source", "unit")
+    near = F.sum("n").over(by.orderBy("length").rangeBetween(-NEAR, NEAR)) - F.col("n")
+    above = F.sum("n").over(by.orderBy("length").rangeBetween(1, Window.unboundedFollowing))
+    tested = histogram.withColumns({"near": near / (2 * NEAR), "above": F.coalesce(above, F.lit(0)), "total": F.sum("n").over(by)})
+    found = tested.where((F.col("n") >= LEAST) & (F.col("n") >= RATIO * F.col("near")) & (F.col("above") <= TAIL * F.col("total")))
+    at = lambda u: F.collect_list(F.when(F.col("unit") == u, F.col("length"))).alias(f"at_{u}")
+    return found.groupBy("record_kind", "source").agg(at("chars"), at("bytes"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """``features`` with spike and truncated. Spikes are at most a few lengths a
-    source; the joins are broadcast only if they are counted to be small."""
-    known = rows.withColumn("source", F.coalesce("source", F.lit("")))
-    flagged = known
-    for unit in ("chars", "bytes"):
-        peak = small(spikes(known, unit).withColumn(f"{unit}_spike", F.lit(True)), 100_000)
-        flagged = flagged.join(peak, ["record_kind", "source", unit], "left")
-    spike = F.coalesce("chars_spike", F.lit(False)) | F.coalesce("bytes_spike", F.lit(False))
-    text = F.col("chars").isNotNull()
-    cut = F.col("marked") | (spike & (~F.col("ended") | F.col("cited")) & ~F.col("heading")) | (~F.col("ended") & ~F.col("heading"))
-    return flagged.select("record_kind", "record_id", "source", "chars", "bytes", spike.alias("spike"), (text & cut).alias("truncated"))
+    """``features`` with spike and cut, which is the kind of cut or null. The features
+    are written once; spikes are at most a few lengths a source."""
+    known = written(rows.withColumn("source", F.coalesce("source", F.lit(""))))
+    flagged = known.join(spikes(known), ["record_kind", "source"], "left")
+    spike = F.coalesce(F.array_contains("at_chars", F.col("chars")) | F.array_contains("at_bytes", F.col("bytes")), F.lit(False))
+    cut = F.when(spike & (F.col("marked") | ~F.col("ended") | F.col("cited")), "field_limit").when(~spike & (F.col("marked") | (~F.col("ended") & ~F.col("heading"))), "transfer")
+    return flagged.select("record_kind", "record_id", "source", "chars", "bytes", spike.alias("spike"), F.when(F.col("chars").isNotNull(), cut).alias("cut"))
 
 
 def quotes(claims: DataFrame, norm_tuples: DataFrame) -> DataFrame:
@@ -99,15 +101,16 @@ def quotes(claims: DataFrame, norm_tuples: DataFrame) -> DataFrame:
 
 
 def truncated(rows: DataFrame) -> DataFrame:
-    return judged(rows).where("truncated").select("record_kind", "record_id")
+    return judged(rows).where("cut is not null").select("record_kind", "record_id")
 
 
 def truncation_shares(rows: DataFrame) -> DataFrame:
-    """How often each source truncates: texts, cut texts, share, spike lengths."""
+    """How often each source truncates: texts, cut texts by kind, share, spike lengths."""
     return (
         judged(rows).where(F.col("chars").isNotNull()).groupBy("record_kind", F.nullif("source", F.lit("")).alias("source"))
         .agg(
-            F.count("*").alias("texts"), F.count_if("truncated").alias("truncated"), F.round(F.count_if("truncated") / F.count("*"), 6).alias("share"),
+            F.count("*").alias("texts"), F.count("cut").alias("truncated"), F.round(F.count("cut") / F.count("*"), 6).alias("share"),
+            F.count_if(F.col("cut") == "field_limit").alias("by_limit"), F.count_if(F.col("cut") == "transfer").alias("in_transfer"),
             F.count_if("spike").alias("at_spike"), F.max(F.when(F.col("spike"), F.col("chars"))).alias("spike_chars"), F.max(F.when(F.col("spike"), F.col("bytes"))).alias("spike_bytes"),
         )
     )
