@@ -13,7 +13,10 @@
 3. *Index permutations.* Slot j of a source takes block j mod b of a keyed
    permutation of its b blocks, a new permutation for each round; so no block, and
    no text, occurs more often than the cap.
-4. *Join.* Slots meet blocks by (source, index).
+4. *Join.* Slots meet the index of blocks, which says in which buckets a block
+   lies, and with that the texts of those buckets. The ids are shuffled once, to
+   their bucket; only the parts of slots whose block lies across two buckets are
+   brought together after that.
 
 Defined cases: null and empty texts have no tokens; sources that are not listed,
 and null, take no part; a listed source without tokens or share gets nothing and
@@ -33,7 +36,8 @@ from ..session import settled
 from .encode import token_ids
 
 BLOCK, SHARD, BUCKET, SEED = 128, 512, 1 << 20, 41
-PART = "source STRING, block BIGINT, start BIGINT, whole BOOLEAN, ids ARRAY<INT>"
+TURNS = 8
+PART = "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT, start BIGINT, whole BOOLEAN, ids ARRAY<INT>"
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -99,39 +103,47 @@ def encoded_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return settled(lambda: token_ids(texts.join(copies, "doc_id", "left_anti"), keep=("source",)))
 
 
-def _pack(block: int):
-    """The blocks and parts of blocks of a bucket, whose tokens begin ``ahead`` of
-    those of its source. A bucket has a bounded number of tokens."""
+def _fill(block: int):
+    """The slots of a bucket with the ids of their blocks, or the part of these that
+    lies in the bucket. A bucket has a bounded number of tokens, and meets ``TURNS``
+    repetitions of its blocks at most."""
 
-    def pack(texts: pa.Table, place: pa.Table) -> pa.Table:
+    def fill(texts: pa.Table, slots: pa.Table) -> pa.Table:
+        kept = ["shard", "slot", "source", "block", "repeat"]
+        ahead = slots["ahead"][0].as_py() if slots.num_rows else 0
         order = np.lexsort((texts["doc_id"].to_numpy(), texts["h"].to_numpy()))
-        ids = texts["ids"].combine_chunks().take(pa.array(order)).flatten().to_numpy()
-        ahead, source = place["ahead"][0].as_py(), place["of"][0].as_py()
-        first, last = ahead // block, (ahead + len(ids) - 1) // block
-        number = np.arange(first, last + 1)
+        ids = texts["ids"].combine_chunks().take(pa.array(order)).flatten().to_numpy() if slots.num_rows else np.zeros(0, dtype=np.int32)
+        number = slots["block"].to_numpy() if slots.num_rows else np.zeros(0, dtype=np.int64)
         low = np.maximum(number * block - ahead, 0)
-        high = np.minimum((number + 1) * block - ahead, len(ids))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(low, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))
-        return pa.table({"source": pa.array([source] * len(number), pa.string()), "block": number, "start": ahead + low, "whole": high - low == block, "ids": lists})
+        size = np.minimum((number + 1) * block - ahead, len(ids)) - low
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = ids[np.repeat(low - ends[:-1], size) + np.arange(ends[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return pa.table({**{c: slots[c] for c in kept}, "start": ahead + low, "whole": size == block, "ids": lists})
 
-    return pack
+    return fill
 
 
-def packed(encoded: DataFrame, tokens: dict[str, int], block: int = BLOCK) -> DataFrame:
-    """(source, block, ids): the blocks of each source, whose ``tokens`` give the
-    number of its buckets. The ids are shuffled once; only the parts of the blocks
-    that lie across two buckets are brought together after that."""
+def filled(drawn: DataFrame, encoded: DataFrame, tokens: dict[str, int], turns: dict[str, int], block: int = BLOCK) -> DataFrame:
+    """(shard, slot, source, block, repeat, ids) of ``drawn`` slots. ``tokens`` gives
+    the number of a source's buckets, ``turns`` how often its blocks may occur: a
+    bucket that occurs more than ``TURNS`` times is read by several tasks."""
     spark = encoded.sparkSession
-    buckets = spark.createDataFrame([(s, max(1, n // BUCKET)) for s, n in tokens.items()], "source STRING, buckets BIGINT")
-    texts = encoded.where(F.size("ids") > 0).withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(buckets), "source")
-    texts = texts.select("doc_id", "source", "h", "ids", F.pmod("h", "buckets").alias("bucket"))
+    known = spark.createDataFrame([(s, max(1, n // BUCKET), -(-turns.get(s, 1) // TURNS)) for s, n in tokens.items()], "source STRING, buckets BIGINT, groups BIGINT")
+    texts = encoded.where(F.size("ids") > 0).withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(known), "source")
+    texts = texts.select("doc_id", "source", "h", F.pmod("h", "buckets").alias("bucket"), "groups", "ids")
     sums = texts.groupBy("source", "bucket").agg(F.sum(F.size("ids")).alias("sum"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("ahead"))
-    parts = texts.groupBy("source", "bucket").cogroup(sums.groupBy("of", "at")).applyInArrow(_pack(block), PART)
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(before), F.lit(0)))
+    blocks = F.sequence(F.floor(F.col("ahead") / block), F.floor((F.col("ahead") + F.col("sum") - 1) / block))
+    index = sums.select("source", F.explode(blocks).alias("block"), F.col("bucket").alias("at"), "ahead")
+    placed = drawn.join(index, ["source", "block"]).withColumn("turn", F.floor(F.col("repeat") / TURNS)).withColumn("of", F.col("source"))
+    copies = texts.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    parts = copies.groupBy("source", "bucket", "group").cogroup(placed.groupBy("of", "at", "turn")).applyInArrow(_fill(block), PART)
+    key = ["shard", "slot", "source", "block", "repeat"]
     ordered = F.array_sort(F.collect_list(F.struct("start", "ids")))
-    edges = parts.where("not whole").groupBy("source", "block").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
-    return parts.where("whole").select("source", "block", "ids").unionAll(edges)
+    edges = parts.where("not whole").groupBy(*key).agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
+    return parts.where("whole").select(*key, "ids").unionAll(edges)
 
 
 def _slots(stats: pd.DataFrame, slots: int) -> object:
@@ -165,9 +177,10 @@ def mixed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     stats, slots = plan(targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
     shards = -(-slots // SHARD)
     drawn = spark.range(shards).repartition(max(1, min(shards // 16 + 1, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
-    # A shuffle join at every size: the slots grow with the data.
-    mix = drawn.hint("merge").join(packed(encoded, dict(zip(stats["source"], stats["tokens"].astype(int).tolist()))), ["source", "block"])
-    return mix.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), encoded, stats
+    tokens = dict(zip(stats["source"], stats["tokens"].astype(int).tolist()))
+    turns = {r.source: -(-int(r.slots) // max(int(r.blocks), 1)) for r in stats.itertuples()} if slots else {}
+    out = filled(drawn, encoded, tokens, turns)
+    return out.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), encoded, stats
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:

@@ -36,11 +36,19 @@ def test_shares_and_caps(tables):
     assert rows["a"].texts == 200 and rows["c"].texts == 20
 
 
+def every_block(encoded, repeats=1):
+    """One slot for each block of each source and repetition."""
+    spark = encoded.sparkSession
+    tokens = {r[0]: r[1] for r in encoded.selectExpr("source", "size(ids) AS n").groupBy("source").sum("n").collect()}
+    slots = [(0, i, s, i, r) for s, n in tokens.items() for i in range(-(-n // mix.BLOCK)) for r in range(repeats)]
+    drawn = spark.createDataFrame(slots, "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
+    return mix.filled(drawn, encoded, tokens, dict.fromkeys(tokens, repeats))
+
+
 def test_blocks_hold_every_token_once(tables):
     docs, targets = tables
     out, encoded, _ = mix.mixed(docs, targets)
-    tokens = {r[0]: r[1] for r in encoded.groupBy("source").agg({"source": "count"}).collect()}
-    blocks = mix.packed(encoded, tokens)
+    blocks = every_block(encoded)
     total = {r[0]: r[1] for r in encoded.groupBy("source").agg({"ids": "count"}).collect()}
     assert set(total) == {"a", "b", "c"}
     assert blocks.selectExpr("sum(size(ids))").first()[0] == encoded.selectExpr("sum(size(ids))").first()[0]
@@ -57,7 +65,10 @@ def test_layout_and_buckets_do_not_matter(tables, monkeypatch):
     _, encoded, _ = mix.mixed(docs, targets)
     for bucket in (300, 1 << 20):
         monkeypatch.setattr(mix, "BUCKET", bucket)
-        blocks = mix.packed(encoded, {"a": 9000, "b": 4000, "c": 100}).collect()
+        repeats = 20
+        rows = every_block(encoded, repeats).collect()
+        assert len(rows) == len({(r.source, r.block, r.repeat) for r in rows}) and all(len({tuple(x.ids) for x in rows if (x.source, x.block) == (r.source, r.block)}) == 1 for r in rows[:9])
+        blocks = [r for r in rows if r.repeat == 19]
         assert len(blocks) == len({(r.source, r.block) for r in blocks})
         sizes = {}
         for r in blocks:
