@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, gating, hierarchy, live, measuring, ontology, reports, texts
+from . import data, gating, hierarchy, live, measuring, ontology, proposals, reports, texts
 
-MODULES: list = [hierarchy, ontology, measuring, texts, gating, reports, live, data]
+MODULES: list = [hierarchy, ontology, measuring, texts, gating, proposals, reports, live, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import drift, nested
 from ..sources.tables import table
+from .proposals import P4
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,4 +42,4 @@ QUERIES = {
     "p6_table": p6_table,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p4_found": P4}
