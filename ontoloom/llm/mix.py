@@ -93,23 +93,33 @@ def plan(stats: pd.DataFrame, block: int = BLOCK) -> tuple[pd.DataFrame, int]:
     return stats.assign(slots=np.minimum(count, stats["blocks"] * stats["max_repeats"])), int(np.minimum(count, stats["blocks"] * stats["max_repeats"]).sum())
 
 
-def encoded_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, source, ids) of the distinct texts of the listed sources, written once."""
+def encoded_sources(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(encoded, copies, lengths): the ids of all texts of the listed sources, the
+    (doc_id, source) of those that repeat another's text, and (doc_id, source, n), the
+    number of tokens of the others. All are written once; the texts are never shuffled
+    to find copies, only their hashes are."""
     listed = targets.where(F.col("source").isNotNull()).select("source").distinct()
     texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "source").join(F.broadcast(listed), "source")
-    named = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text", F.lit(3)).alias("h2"), F.length("text").alias("n"))
+    named = texts.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.hash("text", F.lit(3)).alias("h2"), F.length("text").alias("n"))
     first = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    copies = named.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("first")).select("doc_id")
-    return settled(lambda: token_ids(texts.join(copies, "doc_id", "left_anti"), keep=("source",)))
+    copies = settled(lambda: named.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("first")).select("doc_id", "source"))
+    encoded = settled(lambda: token_ids(texts, keep=("source",)))
+    lengths = encoded.select("doc_id", "source", F.size("ids").alias("n")).join(copies.select("doc_id"), "doc_id", "left_anti")
+    return encoded, copies, settled(lambda: lengths)
 
 
 def _fill(block: int):
     """The slots of a bucket with the ids of their blocks, or the part of these that
-    lies in the bucket. A bucket has a bounded number of tokens, and meets ``TURNS``
-    repetitions of its blocks at most."""
+    lies in the bucket; rows with a ``copy`` name the texts that are left out. A bucket
+    has a bounded number of tokens, and meets ``TURNS`` repetitions of its blocks at
+    most."""
 
     def fill(texts: pa.Table, slots: pa.Table) -> pa.Table:
         kept = ["shard", "slot", "source", "block", "repeat"]
+        dropped = slots["copy"].drop_null().to_numpy()
+        slots = slots.filter(slots["copy"].is_null())
+        if slots.num_rows:
+            texts = texts.filter(pa.array(~np.isin(texts["doc_id"].to_numpy(), dropped)))
         ahead = slots["ahead"][0].as_py() if slots.num_rows else 0
         order = np.lexsort((texts["doc_id"].to_numpy(), texts["h"].to_numpy()))
         ids = texts["ids"].combine_chunks().take(pa.array(order)).flatten().to_numpy() if slots.num_rows else np.zeros(0, dtype=np.int32)
@@ -124,22 +134,28 @@ def _fill(block: int):
     return fill
 
 
-def filled(drawn: DataFrame, encoded: DataFrame, tokens: dict[str, int], turns: dict[str, int], block: int = BLOCK) -> DataFrame:
+def filled(drawn: DataFrame, encoded: DataFrame, copies: DataFrame, lengths: DataFrame, tokens: dict[str, int], turns: dict[str, int], block: int = BLOCK) -> DataFrame:
     """(shard, slot, source, block, repeat, ids) of ``drawn`` slots. ``tokens`` gives
     the number of a source's buckets, ``turns`` how often its blocks may occur: a
     bucket that occurs more than ``TURNS`` times is read by several tasks."""
     spark = encoded.sparkSession
     known = spark.createDataFrame([(s, max(1, n // BUCKET), -(-turns.get(s, 1) // TURNS)) for s, n in tokens.items()], "source STRING, buckets BIGINT, groups BIGINT")
-    texts = encoded.where(F.size("ids") > 0).withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(known), "source")
-    texts = texts.select("doc_id", "source", "h", F.pmod("h", "buckets").alias("bucket"), "groups", "ids")
-    sums = texts.groupBy("source", "bucket").agg(F.sum(F.size("ids")).alias("sum"))
+    def bucketed(df: DataFrame) -> DataFrame:
+        placed = df.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(known), "source")
+        return placed.withColumn("bucket", F.pmod("h", "buckets"))
+
+    texts = bucketed(encoded.where(F.size("ids") > 0)).select("doc_id", "source", "h", "bucket", "groups", "ids")
+    sums = bucketed(lengths.where("n > 0")).groupBy("source", "bucket").agg(F.sum("n").alias("sum"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     blocks = F.sequence(F.floor(F.col("ahead") / block), F.floor((F.col("ahead") + F.col("sum") - 1) / block))
     index = sums.select("source", F.explode(blocks).alias("block"), F.col("bucket").alias("at"), "ahead")
-    placed = drawn.join(index, ["source", "block"]).withColumn("turn", F.floor(F.col("repeat") / TURNS)).withColumn("of", F.col("source"))
-    copies = texts.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    parts = copies.groupBy("source", "bucket", "group").cogroup(placed.groupBy("of", "at", "turn")).applyInArrow(_fill(block), PART)
+    turn = F.floor(F.col("repeat") / TURNS)
+    placed = drawn.hint("merge").join(index, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "at", "ahead", turn.alias("turn"), F.lit(None).cast("bigint").alias("copy"))
+    each = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    left_out = bucketed(copies).select(*[F.lit(None).cast(t).alias(c) for c, t in (("shard", "bigint"), ("slot", "bigint"))], "source", *[F.lit(None).cast("bigint").alias(c) for c in ("block", "repeat")], F.col("bucket").alias("at"), F.lit(None).cast("bigint").alias("ahead"), each.alias("turn"), F.col("doc_id").alias("copy"))
+    placed = placed.unionAll(left_out).withColumn("of", F.col("source"))
+    parts = texts.withColumn("group", each).groupBy("source", "bucket", "group").cogroup(placed.groupBy("of", "at", "turn")).applyInArrow(_fill(block), PART)
     key = ["shard", "slot", "source", "block", "repeat"]
     ordered = F.array_sort(F.collect_list(F.struct("start", "ids")))
     edges = parts.where("not whole").groupBy(*key).agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
@@ -168,19 +184,19 @@ def _slots(stats: pd.DataFrame, slots: int) -> object:
 
 
 def mixed(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, pd.DataFrame]:
-    """(mix, encoded, plan): the mix has (shard, slot, source, block, repeat,
+    """(mix, lengths, plan): the mix has (shard, slot, source, block, repeat,
     n_tokens, ids), one row a slot."""
     spark = documents.sparkSession
-    encoded = encoded_sources(documents, targets)
-    tokens = encoded.groupBy("source").agg(F.sum(F.size("ids")).alias("tokens"), F.count("*").alias("texts"))
+    encoded, copies, lengths = encoded_sources(documents, targets)
+    tokens = lengths.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("texts"))
     # One row for each listed source: the targets are a fixed table.
     stats, slots = plan(targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(tokens, "source", "left").fillna(0, ["tokens", "texts"]).toPandas())
     shards = -(-slots // SHARD)
     drawn = spark.range(shards).repartition(max(1, min(shards // 16 + 1, 4096))).mapInPandas(_slots(stats, slots), "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
     tokens = dict(zip(stats["source"], stats["tokens"].astype(int).tolist()))
     turns = {r.source: -(-int(r.slots) // max(int(r.blocks), 1)) for r in stats.itertuples()} if slots else {}
-    out = filled(drawn, encoded, tokens, turns)
-    return out.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), encoded, stats
+    out = filled(drawn, encoded, copies, lengths, tokens, turns)
+    return out.select("shard", "slot", "source", "block", "repeat", F.size("ids").alias("n_tokens"), "ids"), lengths, stats
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:

@@ -36,22 +36,24 @@ def test_shares_and_caps(tables):
     assert rows["a"].texts == 200 and rows["c"].texts == 20
 
 
-def every_block(encoded, repeats=1):
+def every_block(made, repeats=1):
     """One slot for each block of each source and repetition."""
+    encoded, copies, lengths = made
     spark = encoded.sparkSession
-    tokens = {r[0]: r[1] for r in encoded.selectExpr("source", "size(ids) AS n").groupBy("source").sum("n").collect()}
+    tokens = {r[0]: r[1] for r in lengths.groupBy("source").sum("n").collect()}
     slots = [(0, i, s, i, r) for s, n in tokens.items() for i in range(-(-n // mix.BLOCK)) for r in range(repeats)]
     drawn = spark.createDataFrame(slots, "shard BIGINT, slot BIGINT, source STRING, block BIGINT, repeat BIGINT")
-    return mix.filled(drawn, encoded, tokens, dict.fromkeys(tokens, repeats))
+    return mix.filled(drawn, encoded, copies, lengths, tokens, dict.fromkeys(tokens, repeats))
 
 
 def test_blocks_hold_every_token_once(tables):
     docs, targets = tables
-    out, encoded, _ = mix.mixed(docs, targets)
-    blocks = every_block(encoded)
-    total = {r[0]: r[1] for r in encoded.groupBy("source").agg({"ids": "count"}).collect()}
-    assert set(total) == {"a", "b", "c"}
-    assert blocks.selectExpr("sum(size(ids))").first()[0] == encoded.selectExpr("sum(size(ids))").first()[0]
+    out, lengths, _ = mix.mixed(docs, targets)
+    made = mix.encoded_sources(docs, targets)
+    blocks = every_block(made)
+    assert {r[0] for r in lengths.select("source").distinct().collect()} == {"a", "b", "c"}
+    assert {r.doc_id for r in made[1].collect()} == {3004, 3005} and made[0].count() == lengths.count() + 2
+    assert blocks.selectExpr("sum(size(ids))").first()[0] == lengths.selectExpr("sum(n)").first()[0]
     used = out.groupBy("source", "block").count().groupBy("source").agg({"count": "max"}).collect()
     assert all(r[1] <= {s: c for s, _, c in TARGETS}[r[0]] for r in used)
     assert out.select("shard", "slot").distinct().count() == out.count()
@@ -62,11 +64,11 @@ def test_layout_and_buckets_do_not_matter(tables, monkeypatch):
     want = {(r.shard, r.slot): (r.source, r.block, tuple(r.ids)) for r in mix.mix(docs, targets).collect()}
     other = {(r.shard, r.slot): (r.source, r.block, tuple(r.ids)) for r in mix.mix(docs.repartition(7, "text"), targets).collect()}
     assert want == other
-    _, encoded, _ = mix.mixed(docs, targets)
+    made = mix.encoded_sources(docs, targets)
     for bucket in (300, 1 << 20):
         monkeypatch.setattr(mix, "BUCKET", bucket)
         repeats = 20
-        rows = every_block(encoded, repeats).collect()
+        rows = every_block(made, repeats).collect()
         assert len(rows) == len({(r.source, r.block, r.repeat) for r in rows}) and all(len({tuple(x.ids) for x in rows if (x.source, x.block) == (r.source, r.block)}) == 1 for r in rows[:9])
         blocks = [r for r in rows if r.repeat == 19]
         assert len(blocks) == len({(r.source, r.block) for r in blocks})
