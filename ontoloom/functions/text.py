@@ -121,6 +121,11 @@ def content_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(joined, 256), 1, 10)
 
 
+def slug_hash(*parts: Column) -> Column:
+    """HASH-1: a stable local name: letters and digits of the first part, and the hash of all."""
+    return F.concat(F.regexp_replace(F.coalesce(parts[0], F.lit("")), "[^A-Za-z0-9]+", ""), F.lit("_"), content_hash(*parts))
+
+
 def sentences(text: Column) -> Column:
     """TXT-1: split after sentence ends."""
     return F.split(text, r"(?<=[.!?])\s+")
@@ -147,16 +152,21 @@ def clause_kind(text: Column) -> Column:
 
 
 def celex(text: Column) -> Column:
-    """LEX-3: the identifier of the first Union act cited, or null."""
-    act = r"(Regulation|Directive|Decision)"
-    new = act + r" \((?:EU|EC|EEC)\) (?:No )?(\d{4})/(\d{1,4})\b"
-    old = act + r" (?:\((?:EU|EC|EEC)\) )?(?:No )?(\d{1,4})/(\d{4})\b"
-    kind = lambda p: F.substring(F.regexp_extract(text, p, 1), 1, 3)
-    letter = lambda p: F.when(kind(p) == "Reg", "R").when(kind(p) == "Dir", "L").otherwise("D")
-    pad = lambda n: F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)
-    one = F.concat(F.lit("3"), F.regexp_extract(text, new, 2), letter(new), pad(F.regexp_extract(text, new, 3)))
-    two = F.concat(F.lit("3"), F.regexp_extract(text, old, 3), letter(old), pad(F.regexp_extract(text, old, 2)))
-    return F.when(text.rlike(new), one).when(text.rlike(old), two)
+    """LEX-3: the identifier of the first Union act cited, or null. The current style
+    has year/number behind the community; the old one has number/year before it, but a
+    directive year/number; years of two digits are of the last century above 50."""
+    act = r"(?i)\b(Regulation|Directive|Decision)"
+    new = act + r"\s*\((?:EU|EC|EEC|EU,\s*Euratom|EC,\s*Euratom)\)\s*(?:No\.?\s*)?(\d{4})/(\d{1,4})\b"
+    old = act + r"\s+(?:\((?:EEC|EC)\)\s*)?(?:No\.?\s*)?(\d{1,4})/(\d{2,4})/(?:EEC|EC|EU)\b"
+    part = lambda p, i: F.regexp_extract(text, p, i)
+    letter = lambda p: F.when(F.lower(part(p, 1)) == "regulation", "R").when(F.lower(part(p, 1)) == "directive", "L").otherwise("D")
+    number = lambda n: F.lpad(F.regexp_replace(n, "^0+(?=.)", ""), 4, "0")
+    one = F.concat(F.lit("3"), part(new, 2), letter(new), number(part(new, 3)))
+    first, second = part(old, 2), part(old, 3)
+    year_first = (F.lower(part(old, 1)) == "directive") | ((F.length(first) <= 2) & (F.length(second) > 2))
+    year, count = F.when(year_first, first).otherwise(second), F.when(year_first, second).otherwise(first)
+    full = F.when(F.length(year) == 2, F.concat(F.when(year.cast("int") > 50, "19").otherwise("20"), year)).otherwise(year)
+    return F.when(text.rlike(new), one).when(text.rlike(old), F.concat(F.lit("3"), full, letter(old), number(count)))
 
 
 # What must not reach a client, and what it would disclose.
@@ -187,10 +197,11 @@ ARTICLE_HEAD = r"(?m)^[ \t]*(?:Article|ARTICLE|Art\.|Section|SECTION|§)[ \t]+\d
 
 
 def genre(text: Column) -> Column:
-    """LEX-2: legislation with two signals of four, else philosophy."""
-    sample = F.substring(text, 1, 200_000)
+    """LEX-2: legislation with two signals of four, else philosophy. All signals are
+    taken from the whole text, so an act cited late counts as well."""
+    sample = text
     signals = (
-        celex(F.substring(text, 1, 4000)).isNotNull().cast("int")
+        celex(text).isNotNull().cast("int")
         + (F.regexp_count(sample, F.lit(ARTICLE_HEAD)) >= 2).cast("int")
         + F.lower(sample).rlike(ENACTED).cast("int")
         + (F.regexp_count(F.lower(sample), F.lit(r"\bshall\b")) * 1000 / F.greatest(F.lit(1), F.regexp_count(sample, F.lit(r"\S+"))) >= 3).cast("int")

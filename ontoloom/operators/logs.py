@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clause_kind
+
 
 def events(session_log: DataFrame) -> DataFrame:
     """SRC-3: the log's valid rows, each event once; payloads that are no JSON are
@@ -88,10 +90,12 @@ def status_counts(claims: DataFrame) -> DataFrame:
 
 
 def feed_priority(claims: DataFrame) -> DataFrame:
-    """WIN-5: new ids of the pending claims of a job: high confidence before medium
-    before the rest, then by old id, numbered from above the ids that stay."""
+    """WIN-5: new ids of the pending claims of a job: definitions, then what an act
+    establishes, confers or covers, then its norms, recitals last; within a tier by old
+    id, numbered from above the ids that stay."""
     rows = each_claim(claims)
-    tier = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    kind = clause_kind(F.coalesce("source_quote", F.lit("")))
+    tier = F.when(F.coalesce(F.col("section").startswith("rec_"), F.lit(False)), 3).when(kind == "definition", 0).when(kind.isin("establishment", "conferral", "scope"), 1).otherwise(2)
     fixed = rows.where("status <> 'pending'").groupBy("job_id").agg(F.max("id").alias("top"))
     order = Window.partitionBy("job_id").orderBy("tier", "id", "claim_key")
     pending = rows.where("status = 'pending'").withColumn("tier", tier).withColumn("place", F.row_number().over(order)).join(fixed, "job_id", "left")

@@ -37,15 +37,28 @@ def locus_density(findings: DataFrame) -> DataFrame:
     return rows.groupBy("locus").agg(F.sum("n").alias("findings"), F.coalesce(F.sum(F.when(F.col("blanket").isNull(), F.col("n"))), F.lit(0)).alias("specific"))
 
 
-def debt(findings: DataFrame, population: DataFrame) -> DataFrame:
-    """DEBT-1, AGG-12: (code, findings, rate, saturated, debt). Findings from
-    translation never count, coverage codes never add, and a code that fires on
+def debt(findings: DataFrame, registry: DataFrame, population: int, totals: DataFrame | None = None) -> DataFrame:
+    """DEBT-1, AGG-12: (code, findings, undetermined, translation, rate, saturated, debt).
+    ``registry(code, kind, weight)`` has one row a code; a finding of another code
+    raises. Findings from translation never count, coverage codes never add, ``totals(code,
+    total)`` above what was seen count as undetermined, and a code whose findings are
     more than half of the population is left out as saturated."""
-    own = findings.where(F.col("attribution") != "translation").groupBy("code", "kind", "weight").agg(F.count("*").alias("findings"), F.count_distinct("subject").alias("subjects"))
-    size = population.agg(F.count("*")).scalar()
-    rows = own.withColumn("rate", F.round(F.col("subjects") / F.greatest(size, F.lit(1)), 6))
-    saturated = F.col("rate") > SATURATED
-    return rows.select("code", "findings", "rate", saturated.alias("saturated"), F.when(saturated | (F.col("kind") == "coverage"), 0.0).otherwise(F.round(F.col("weight") * F.col("findings"), 6)).alias("debt"))
+    own = findings.groupBy("code").agg(
+        F.count_if(~F.col("attribution").eqNullSafe("translation")).alias("seen"), F.count_if(F.coalesce("attribution", F.lit("undetermined")) == "undetermined").alias("open"), F.count_if(F.col("attribution") == "translation").alias("translation")
+    )
+    if totals is not None:
+        own = own.join(totals, "code", "full")
+    else:
+        own = own.withColumn("total", F.lit(0))
+    known = own.join(F.broadcast(registry), "code", "left")
+    kind = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("unknown code "), "code")).cast("string")).otherwise(F.col("kind"))
+    seen, total = F.coalesce("seen", F.lit(0)), F.coalesce("total", F.lit(0)).cast("bigint")
+    rows = known.select("code", kind.alias("kind"), "weight", F.greatest(seen, total).alias("findings"), (F.coalesce("open", F.lit(0)) + F.greatest(total - seen, F.lit(0))).alias("undetermined"), F.coalesce("translation", F.lit(0)).alias("translation"))
+    rate = F.round(F.col("findings") / F.greatest(F.lit(population), F.lit(1)), 6)
+    return rows.withColumn("rate", rate).select(
+        "code", "findings", "undetermined", "translation", "rate", (F.col("rate") > SATURATED).alias("saturated"),
+        F.when((F.col("rate") > SATURATED) | (F.col("kind") == "coverage"), 0.0).otherwise(F.round(F.col("weight") * F.col("findings"), 6)).alias("debt"),
+    )
 
 
 def completeness(registry: DataFrame, findings: DataFrame) -> DataFrame:

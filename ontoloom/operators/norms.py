@@ -3,10 +3,10 @@ quotes and instruments."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PATHWAYS, VAGUE, content_tokens, rule_root
+from ..functions.text import PATHWAYS, VAGUE, clause_kind, content_tokens, rule_root
 from ..session import written
 
 CAPACITIES = ("power", "permission")
@@ -77,24 +77,37 @@ def kd3(norm_tuples: DataFrame) -> DataFrame:
     return capacities(norm_tuples).where("verdict = 'no_pathway'").select("tuple_id", F.lit("K-D3").alias("code"), F.when(F.col("role") != "", 0.8).otherwise(0.6).alias("confidence"))
 
 
-# The nodes of the chain a norm can fill, and the words that fill them.
-CHAIN = [
-    ("condition", r"\b(?:if|where|unless|provided that|in the case of)\b"),
-    ("conduct", r"\b(?:shall|must|may|is bound to|is entitled to)\b"),
-    ("breach", r"\b(?:fails? to|failure|breach|contravenes?|infringes?)\b"),
-    ("remedy", r"\b(?:remedy|compensation|penalt(?:y|ies)|restitution|suspend|revoke)\b"),
-    ("deadline", r"\b(?:within|not later than|before|after) [^.;]*?\b(?:days?|months?|years?)\b"),
-]
-
-
-def chain_tags(text: Column) -> Column:
-    """LEX-13: the nodes whose words a text has, in chain order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), node) for node, p in CHAIN]))
+# The kinds of clauses that are norms, and the words of the chain's nodes.
+NORM_CLAUSES = ["norm", "conferral", "remedy", "time_limit"]
+CHAIN_WORDS = {
+    "conduct": r"(?i)\b(?:shall(?: not)?|may(?: not)?|must|is entitled to|has the right to|shall have the power to)\s+\w+",
+    "condition": r"(?i)\b(?:where|if|in the case of|in any case where|provided that|unless|after having become aware)\b",
+    "breach": r"(?i)\b(?:infringe\w*|breach\w*|fail\w* to|non-?complian\w*|violat\w*|in breach of|contrary to)\b",
+    "remedy": r"(?i)\b(?:lodge a complaint|judicial remedy|compensation|liable|administrative fines?|penalt\w+|sanction\w*|damages)\b",
+}
+NODES = ["source", "norm", "addressee", "position", "conduct", "condition", "breach", "remedy"]
+
+
+def chain_nodes(norm_tuples: DataFrame) -> DataFrame:
+    """LEX-13, LEGAL-3, JOIN-13: (tuple_id, corpus_id, nodes): for each norm the nodes of
+    the chain that its text supplies. A condition may be that of another clause of the
+    same article, a remedy one found elsewhere in the act: both are flags by group,
+    which meet the norms by key."""
+    rows = norm_tuples.where("tuple_id is not null").dropDuplicates(["tuple_id"]).withColumns({"quote": F.coalesce("source_quote", F.lit("")), "article": F.regexp_replace(F.coalesce(F.nullif("source_locator", F.lit("")), F.lit("unknown")), "[/(].*$", "")})
+    rows = rows.withColumn("clause", clause_kind(F.col("quote")))
+    act = ["corpus_id"]
+    siblings = rows.groupBy(*act, "article").agg(F.bool_or(F.col("clause") == "condition").alias("sibling_condition"))
+    remedies = rows.groupBy(*act).agg(F.bool_or((F.col("clause") == "remedy") | F.col("quote").rlike(CHAIN_WORDS["remedy"])).alias("act_remedy"))
+    met = rows.where(F.col("clause").isin(*NORM_CLAUSES)).join(siblings, [*act, "article"], "left").join(remedies, act, "left")
+    has = lambda node: F.col("quote").rlike(CHAIN_WORDS[node])
+    supplied = {
+        "source": F.col("corpus_id").isNotNull(), "norm": F.col("quote") != "", "addressee": F.coalesce("bearer", F.lit("")) != "", "position": ~F.coalesce(F.lower("modality"), F.lit("none")).isin("", "none"),
+        "conduct": has("conduct"), "condition": has("condition") | F.coalesce("sibling_condition", F.lit(False)), "breach": has("breach"), "remedy": has("remedy") | F.coalesce("act_remedy", F.lit(False)),
+    }
+    return met.select("tuple_id", "corpus_id", F.array_compact(F.array(*[F.when(supplied[n], n) for n in NODES])).alias("nodes"))
 
 
 def chain_coverage(norm_tuples: DataFrame) -> DataFrame:
-    """LEGAL-3: (node, present, missing) over the quotes."""
-    rows = norm_tuples.where("tuple_id is not null and source_quote <> ''").dropDuplicates(["tuple_id"]).select(chain_tags(F.col("source_quote")).alias("tags"))
-    stats = rows.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("tags", node)).alias(node) for node, _ in CHAIN])
-    return stats.select(F.inline(F.array(*[F.struct(F.lit(node).alias("node"), F.col(node).alias("present"), (F.col("n") - F.col(node)).alias("missing")) for node, _ in CHAIN])))
+    """LEGAL-3: (node, present, missing) over all norms."""
+    stats = chain_nodes(norm_tuples).agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("nodes", node)).alias(node) for node in NODES])
+    return stats.select(F.inline(F.array(*[F.struct(F.lit(node).alias("node"), F.col(node).alias("present"), (F.col("n") - F.col(node)).alias("missing")) for node in NODES])))

@@ -30,7 +30,7 @@ def entities(spark, d):
 
 def relations(spark, d):
     p = F.when(F.col("l_returnflag") == "A", "includes").when(F.col("l_returnflag") == "R", "excludes").otherwise("hasPart")
-    return table(spark, d, "lineitem").where("l_quantity >= 40").select((F.col("l_partkey") % 500).alias("proposal_id"), F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("s"), p.alias("p"), F.col("l_suppkey").alias("o"))
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % 500).alias("proposal_id"), F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("s"), p.alias("p"), F.col("l_suppkey").alias("o"))
 
 
 def _static(spark):
@@ -66,7 +66,7 @@ def _recall(spark, d):
 
 
 def _collisions(spark, d):
-    return gate.collisions(entities(spark, d).where("pos % 10 >= 4"), A.part_labels(spark, d).where("iri like '%7'"))
+    return gate.collisions(entities(spark, d), A.part_labels(spark, d))
 
 
 def _signatures(spark, d):
@@ -111,7 +111,7 @@ ENT = """w AS (SELECT *, upper(split_part(p_name, ' ', 1)[1]) || lower(split_par
 e AS (SELECT p_partkey % 500 AS proposal_id, p_partkey AS pos, CASE p_partkey % 10 WHEN 0 THEN 'Non' || a WHEN 1 THEN a || 'And' || b WHEN 2 THEN p_name || ' (reuse)' WHEN 3 THEN p_name || ' which is held by the owner' ELSE a || b END AS label,
     'n:' || (p_partkey % 25) AS parent, CASE WHEN p_size > 10 THEN 'class' ELSE 'individual' END AS kind, split_part(p_type, ' ', 1) AS category, p_size % 2 = 0 AS is_new,
     CASE p_size % 3 WHEN 0 THEN 'A n:' || (p_partkey % 25) || ' that is sold.' WHEN 1 THEN 'Something sold.' END AS definition FROM w)"""
-REL = "r AS (SELECT l_partkey % 500 AS proposal_id, l_orderkey AS pos, l_partkey AS s, CASE l_returnflag WHEN 'A' THEN 'includes' WHEN 'R' THEN 'excludes' ELSE 'hasPart' END AS p, l_suppkey AS o FROM lineitem WHERE l_quantity >= 40)"
+REL = "r AS (SELECT l_partkey % 500 AS proposal_id, l_orderkey AS pos, l_partkey AS s, CASE l_returnflag WHEN 'A' THEN 'includes' WHEN 'R' THEN 'excludes' ELSE 'hasPart' END AS p, l_suppkey AS o FROM lineitem)"
 BUD = "bud AS (SELECT proposal_id, 'construction' AS tier, 'BUD-1' AS code, count(*)::VARCHAR AS subject FROM e WHERE is_new AND kind = 'class' GROUP BY 1 HAVING count(*) > 5)"
 CON = "con AS (SELECT proposal_id, 'construction' AS tier, 'PC-11' AS code, s || ' ' || o AS subject FROM r GROUP BY proposal_id, s, o HAVING bool_or(p = 'includes') AND bool_or(p = 'excludes'))"
 STR = """u AS (SELECT c_custkey % 100 AS proposal_id, 'c:' || c_custkey AS label, 'n:' || c_nationkey AS parent FROM customer UNION ALL SELECT c_custkey % 100, 'c:' || c_custkey, 'n:' || ((c_nationkey + 6) % 25) FROM customer WHERE c_custkey % 11 = 0),
@@ -130,7 +130,7 @@ SQL = {
         UNION SELECT * FROM con UNION SELECT proposal_id, 'construction', 'PC-14 missing', label FROM e WHERE is_new AND kind = 'class' AND definition IS NULL
         UNION SELECT proposal_id, 'construction', 'PC-14 genus', label FROM e WHERE is_new AND kind = 'class' AND definition IS NOT NULL AND NOT contains(lower(definition), lower(parent))
         UNION SELECT * FROM bud) SELECT * FROM v""",
-    "gate_collisions": f"""WITH {ENT}, {LABELS}, k AS (SELECT *, {key_sql('label')} AS key FROM e WHERE pos % 10 >= 4), h AS (SELECT {key_sql('label')} AS key FROM l WHERE iri LIKE '%7')
+    "gate_collisions": f"""WITH {ENT}, {LABELS}, k AS (SELECT *, {key_sql('label')} AS key FROM e), h AS (SELECT {key_sql('label')} AS key FROM l)
         SELECT DISTINCT proposal_id, 'construction' AS tier, 'PC-15' AS code, label AS subject FROM k WHERE key <> '' AND is_new AND key IN (SELECT key FROM h)
         UNION SELECT proposal_id, 'construction', 'PC-16', key FROM k WHERE key <> '' GROUP BY proposal_id, key HAVING count(DISTINCT category) > 1""",
     "gate_structural": f"{TREE}, {STR} SELECT * FROM st",

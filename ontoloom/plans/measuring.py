@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import logs, measures
 from ..sources import adapters as A
 from ..sources.tables import table
@@ -12,7 +13,7 @@ FIND = """f AS (SELECT 'K-' || l_returnflag || CASE WHEN l_linestatus = 'O' THEN
     CASE WHEN l_returnflag = 'N' THEN 'coverage' ELSE 'defect' END AS kind,
     CASE l_returnflag WHEN 'A' THEN 3.0::DOUBLE WHEN 'R' THEN 1.5 ELSE 0 END AS weight, 'L' || l_linenumber AS locus, l_partkey AS subject,
     CASE WHEN l_discount < 0.03 THEN 'translation' WHEN l_discount < 0.07 THEN 'source' ELSE 'undetermined' END AS attribution,
-    'line of ' || l_returnflag || ' shipped in ' || year(l_shipdate) AS detail FROM lineitem WHERE l_quantity >= 49 OR (l_returnflag = 'N' AND l_quantity >= 20)),
+    'line of ' || l_returnflag || ' shipped in ' || year(l_shipdate) AS detail FROM lineitem),
 s AS (SELECT *, substr(regexp_replace(detail, '^[^ ]* [^ ]* ', ''), 1, 60) AS shape FROM f),
 bl AS (SELECT code, shape, count(*) AS findings FROM s GROUP BY 1, 2 HAVING count(*) >= 40)"""
 BIND = "b AS (SELECT DISTINCT l_linenumber AS locus, l_partkey AS class FROM lineitem), m AS (SELECT class, count(*) AS loci FROM b GROUP BY 1)"
@@ -24,6 +25,15 @@ LOG = "e AS (SELECT DISTINCT * FROM session_log WHERE json_valid(payload) AND ev
 CLAIMS = "c AS (SELECT DISTINCT * FROM claims WHERE claim_key IS NOT NULL)"
 
 
+REGISTRY = [("K-A1", "defect", 3.0), ("K-A2", "defect", 3.0), ("K-R1", "defect", 1.5), ("K-R2", "defect", 1.5), ("K-N1", "coverage", 0.0), ("K-N2", "coverage", 0.0)]
+
+
+def _debt(spark, d):
+    """Debt against all line items; of returned lines more are known than were found."""
+    totals = spark.createDataFrame([("K-R2", 10_000_000), ("K-R1", 1)], "code STRING, total BIGINT")
+    return measures.debt(A.findings(spark, d), spark.createDataFrame(REGISTRY, "code STRING, kind STRING, weight DOUBLE"), table(spark, d, "lineitem").count(), totals)
+
+
 def _findings(operator):
     return lambda spark, d: operator(A.findings(spark, d))
 
@@ -66,7 +76,7 @@ QUERIES = {
     "finding_counts": _findings(measures.counts),
     "finding_blanket_shapes": _findings(measures.blanket_shapes),
     "finding_locus_density": _findings(measures.locus_density),
-    "finding_debt": lambda spark, d: measures.debt(A.findings(spark, d), table(spark, d, "part")),
+    "finding_debt": _debt,
     "finding_completeness": _completeness,
     "finding_coverage": _coverage,
     "audit_precision_wilson": lambda spark, d: measures.precision(table(spark, d, "norm_tuples").dropDuplicates(["tuple_id"]), "corpus_id", F.col("confidence") == "high"),
@@ -102,8 +112,11 @@ SQL = {
     "finding_counts": f"WITH {FIND} SELECT code, locus, count(*) AS findings FROM f GROUP BY 1, 2",
     "finding_blanket_shapes": f"WITH {FIND} SELECT * FROM bl",
     "finding_locus_density": f"WITH {FIND} SELECT locus, count(*) AS findings, count(*) FILTER (WHERE bl.code IS NULL) AS specific FROM s LEFT JOIN bl USING (code, shape) GROUP BY 1",
-    "finding_debt": f"""WITH {FIND}, g AS (SELECT code, kind, weight, count(*) AS findings, round(count(DISTINCT subject) / (SELECT count(*) FROM part), 6) AS rate FROM f WHERE attribution <> 'translation' GROUP BY 1, 2, 3)
-        SELECT code, findings, rate, rate > 0.5 AS saturated, CASE WHEN rate > 0.5 OR kind = 'coverage' THEN 0.0::DOUBLE ELSE round(weight * findings, 6) END AS debt FROM g""",
+    "finding_debt": f"""WITH {FIND}, reg(code, kind, weight) AS (VALUES {", ".join(f"('{c}', '{k}', {w}::DOUBLE)" for c, k, w in REGISTRY)}), tot(code, total) AS (VALUES ('K-R2', 10000000), ('K-R1', 1)),
+        g AS (SELECT code, count(*) FILTER (WHERE attribution <> 'translation') AS seen, count(*) FILTER (WHERE attribution = 'undetermined') AS open, count(*) FILTER (WHERE attribution = 'translation') AS translation FROM f GROUP BY 1),
+        h AS (SELECT code, kind, weight, greatest(coalesce(seen, 0), coalesce(total, 0))::BIGINT AS findings, (coalesce(open, 0) + greatest(coalesce(total, 0) - coalesce(seen, 0), 0))::BIGINT AS undetermined, coalesce(translation, 0) AS translation FROM g FULL JOIN tot USING (code) LEFT JOIN reg USING (code)),
+        i AS (SELECT *, round(findings / (SELECT count(*) FROM lineitem), 6) AS rate FROM h)
+        SELECT code, findings, undetermined, translation, rate, rate > 0.5 AS saturated, CASE WHEN rate > 0.5 OR kind = 'coverage' THEN 0.0::DOUBLE ELSE round(weight * findings, 6) END AS debt FROM i""",
     "finding_completeness": f"""WITH {FIND} SELECT r.code, CASE WHEN count(f.code) > 0 THEN 'instrumented' WHEN r.applies THEN 'silent_by_principle' ELSE 'not_applicable' END AS state, count(f.code) AS findings
         FROM (VALUES ('K-A1', true), ('K-A2', true), ('K-N1', true), ('K-R2', true), ('K-Z1', true), ('K-Z2', false)) r(code, applies) LEFT JOIN f ON f.code = r.code GROUP BY r.code, r.applies""",
     "finding_coverage": f"""WITH {CLAIMS}, t AS (SELECT unnest([{{'metric': 'quote', 'ok': coalesce(source_quote, '') <> ''}}, {{'metric': 'section', 'ok': coalesce(section, '') <> ''}}, {{'metric': 'verdict', 'ok': coalesce(verdict, '') <> ''}}]) AS u FROM c)
@@ -146,7 +159,7 @@ SQL = {
     "log_gate_preservation": """WITH l AS (SELECT job_id, proposal_id, arg_max(status, (updated_at, claim_key)) AS status, bool_or(coalesce(verdict = 'inconsistent', false)) AS clashed FROM claims WHERE proposal_id IS NOT NULL GROUP BY 1, 2)
         SELECT job_id, count(*) AS proposals, count(*) FILTER (WHERE clashed) AS clashes, count(*) FILTER (WHERE clashed AND status = 'committed') AS recovered FROM l GROUP BY 1""",
     "job_status_counts": f"WITH {CLAIMS} SELECT job_id, count(*) AS claims, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in logs.STATUSES) + " FROM c GROUP BY 1",
-    "job_feed_priority": f"""WITH {CLAIMS}, t AS (SELECT *, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS tier FROM c WHERE status = 'pending'), x AS (SELECT job_id, max(id) AS top FROM c WHERE status <> 'pending' GROUP BY 1)
+    "job_feed_priority": f"""WITH {CLAIMS}, t AS (SELECT *, CASE WHEN starts_with(section, 'rec_') THEN 3 {" ".join(f"WHEN regexp_matches(lower(coalesce(source_quote, '')), '{p}') THEN {dict(definition=0, establishment=1, conferral=1, scope=1).get(k, 2)}" for k, p in T.CLAUSE_KINDS)} ELSE 2 END AS tier FROM c WHERE status = 'pending'), x AS (SELECT job_id, max(id) AS top FROM c WHERE status <> 'pending' GROUP BY 1)
         SELECT t.job_id, claim_key, id, coalesce(top, -1) + row_number() OVER (PARTITION BY t.job_id ORDER BY tier, id, claim_key) AS new_id FROM t LEFT JOIN x ON x.job_id = t.job_id""",
     "job_next_pending": f"WITH {CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id, claim_key) AS i FROM c WHERE status = 'pending' AND approved) SELECT job_id, claim_key, id FROM r WHERE i <= 5",
     "job_suspect_window": f"WITH {CLAIMS} SELECT job_id, count(*) FILTER (WHERE id > 10 AND id <= 40 AND status = 'committed') AS flipped, count(*) FILTER (WHERE status = 'needs_review' OR (id > 10 AND id <= 40 AND status = 'committed')) AS needs_review FROM c GROUP BY 1",

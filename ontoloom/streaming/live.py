@@ -59,6 +59,4 @@ def checkpoints(events: DataFrame, every: int = 250) -> DataFrame:
 def run_once(stream: DataFrame, checkpoint: str, mode: str = "complete", name: str = "live") -> None:
     """Takes all that is there and stops; the next call goes on from the checkpoint."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination(600)
-    if query.isActive:
-        query.stop()
+    query.awaitTermination()
