@@ -115,6 +115,18 @@ def nearest_anchor(reach: DataFrame, anchor: str) -> DataFrame:
     return held.groupBy("node").agg(best.alias("best")).select("node", F.col("best.ancestor").alias("anchor"), F.col("best.depth").alias("depth"))
 
 
+def first_anchor(edges: DataFrame, anchor: str) -> DataFrame:
+    """(child, anchor, depth): TOP-7, the nearest ancestor of the prefix over the parents of
+    ``edges(child, parent, ordinal)``: the least depth, then the first parent, then the
+    smaller name."""
+    direct = edges.select("child", "parent", "ordinal")
+    near = nearest_anchor(closure(direct.select("child", "parent")), anchor).select(F.col("node").alias("parent"), F.col("anchor").alias("over"), F.col("depth").alias("up"))
+    own = direct.where(F.col("parent").startswith(anchor)).select("child", F.struct(F.lit(1).alias("depth"), "ordinal", F.col("parent").alias("anchor")).alias("b"))
+    over = direct.join(near, "parent").select("child", F.struct((F.col("up") + 1).alias("depth"), "ordinal", F.col("over").alias("anchor")).alias("b"))
+    best = own.unionAll(over).groupBy("child").agg(F.min("b").alias("b"))
+    return best.select("child", "b.anchor", "b.depth")
+
+
 def reflexive(reach: DataFrame, nodes: DataFrame) -> DataFrame:
     """``reach`` and each of ``nodes(node)`` above itself at depth 0."""
     return reach.unionAll(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
