@@ -34,7 +34,9 @@ def pattern(triples: DataFrame, s: str | None = None, p: str | None = None, o: s
     return triples
 
 
-def classes(triples: DataFrame) -> DataFrame:
+def classes(triples: DataFrame, namespace: str = "") -> DataFrame:
+    """FLT-2: the named classes, of a namespace if one is given."""
+    triples = triples.where(F.col("s").startswith(namespace))
     return triples.where((F.col("p") == TYPE) & (F.col("o") == CLASS) & (F.col("s_kind") == "iri")).select(F.col("s").alias("class")).distinct()
 
 
@@ -224,16 +226,37 @@ def orphan_bnodes(triples: DataFrame, max_rounds: int = 30) -> DataFrame:
     raise RuntimeError("orphan_bnodes: not settled")
 
 
-def canonical_bnodes(triples: DataFrame, rounds: int = 3) -> DataFrame:
-    """SNK-3: blank nodes renamed by the hash of what leaves them, ``rounds`` levels
-    deep, so that equal structures are written equally."""
-    named = triples
-    for _ in range(rounds):
-        own = named.where(F.col("s_kind") == "bnode").groupBy("s").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))), "|"), 256).alias("h"))
-        ids = own.select("s", F.concat(F.lit("_:"), F.substring("h", 1, 16)).alias("id"))
-        out = named.join(ids, "s", "left").withColumn("s", F.coalesce("id", "s")).drop("id")
-        named = out.join(ids.select(F.col("s").alias("o"), "id"), "o", "left").withColumn("o", F.coalesce("id", "o")).drop("id")
-    return named.select(triples.columns).distinct()
+def canonical_bnodes(triples: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """SNK-3: blank nodes renamed by the hash of what leaves them, so that equal structures
+    are written equally. A node is named once all blank nodes it leads to are; of nodes
+    in a cycle, which never are, the hash covers what leaves the cycle."""
+    from ..session import written
+
+    arcs = triples.where("s_kind = 'bnode'").select("s", "p", "o", "o_kind").distinct()
+    ids = None
+    for _ in range(max_rounds):
+        if ids is None:
+            open_, known = arcs.select("s").distinct(), arcs.where("false").select(F.col("s").alias("node"), F.col("s").alias("id"))
+        else:
+            known = ids
+            open_ = arcs.select("s").distinct().join(known.select(F.col("node").alias("s")), "s", "left_anti")
+        if open_.isEmpty():
+            break
+        told = arcs.join(open_, "s", "left_semi").join(known.toDF("o", "id"), "o", "left").join(arcs.select(F.col("s").alias("o"), F.lit(True).alias("inner")).distinct(), "o", "left")
+        waits = F.coalesce("inner", F.lit(False)) & F.col("id").isNull()
+        own = told.groupBy("s").agg(F.bool_or(waits).alias("waits"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(waits, F.col("p")).otherwise(F.concat_ws(" ", "p", F.coalesce("id", "o"))))), "|"), 256).alias("h"))
+        ready = own.where("not waits")
+        if ready.isEmpty():
+            ready = own
+        new = ready.select(F.col("s").alias("node"), F.concat(F.lit("_:"), F.substring("h", 1, 16)).alias("id"))
+        ids = written(new if ids is None else known.unionAll(new))
+    else:
+        raise RuntimeError("canonical_bnodes: not settled")
+    if ids is None:
+        return triples.distinct()
+    out = triples.join(ids.toDF("s", "id"), "s", "left").withColumn("s", F.coalesce("id", "s")).drop("id")
+    out = out.join(ids.toDF("o", "id"), "o", "left").withColumn("o", F.when(F.col("o_kind") == "bnode", F.coalesce("id", "o")).otherwise(F.col("o"))).drop("id")
+    return out.select(triples.columns).distinct()
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
