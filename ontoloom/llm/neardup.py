@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,80 +144,87 @@ def _merge(threshold: float, hot: int) -> object:
     (value null), and the postings of lists longer than ``hot`` (b null)."""
     share, most_hashed = (1 - threshold) / (1 + threshold), BITS - least_match(threshold)
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def alike(words: list, n: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Which of the pairs (i, j), already near by their first word, stay."""
-            both = n[i] + n[j]
-            differ = np.bitwise_count(words[0][i] ^ words[0][j]).astype(np.int16) + np.bitwise_count(words[1][i] ^ words[1][j])
-            ok = (differ <= share * both + 1e-6) & (n[i] <= u[j]) & (n[j] <= u[i])
-            if (both > LONG).any():
-                differ = np.bitwise_count(words[2][i] ^ words[2][j]).astype(np.int16) + np.bitwise_count(words[3][i] ^ words[3][j])
-                ok &= (both <= LONG) | (differ <= most_hashed)
-            return ok
-
-        def pairs(lists: pd.DataFrame) -> pd.DataFrame:
-            order = np.lexsort((lists["n"].to_numpy(), lists["value"].to_numpy()))
-            value, rep, n, u = (lists[c].to_numpy()[order] for c in ("value", "rep", "n", "u"))
-            words = [lists[c].to_numpy()[order].view(np.uint64) for c in SIGNATURE]
-            left, right = [rep[:0]], [rep[:0]]
-            width, group = int(n.max()) + 1, np.cumsum(np.r_[0, value[1:] != value[:-1]])
-            place = np.arange(len(value))
-            end = np.searchsorted(group * width + n, group * width + np.clip(u, 0, width - 1), "right")
-            count = np.maximum(end - place - 1, 0)
-            some = np.flatnonzero((count > 0) & (count <= 64))
-            for lo in range(0, len(some), 16384):
-                at = some[lo : lo + 16384]
-                i = np.repeat(at, count[at])
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
-                ok = alike(words, n, u, i, j)
-                left.append(rep[i[ok]])
-                right.append(rep[j[ok]])
-            many, first = np.flatnonzero(count > 64), words[0]
-            for lo in range(0, len(many), 32):
-                # Rows of one list that follow each other, against all they can reach.
-                for at in np.split(many[lo : lo + 32], np.flatnonzero(np.diff(group[many[lo : lo + 32]])) + 1):
-                    low, high = int(at[0]) + 1, int(end[at].max())
-                    most = int(share * (int(n[at[-1]]) + int(n[high - 1])) + 1e-6)
-                    near = np.bitwise_count(first[at, None] ^ first[None, low:high]) <= most
-                    r, c = np.nonzero(near)
-                    i, j = at[r], c + low
-                    inside = (j > i) & (j < end[i])
-                    i, j = i[inside], j[inside]
-                    ok = alike(words, n, u, i, j)
-                    left.append(rep[i[ok]])
-                    right.append(rep[j[ok]])
-            out = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
-            return out.assign(value=pd.Series(np.nan, index=out.index, dtype="Int64"), **dict.fromkeys(SIGNATURE, np.int64(0)), n=np.int32(0), u=np.int32(0))[["value", "a", "b", *SIGNATURE, "n", "u"]]
-
-        def long_list(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"value": part["value"].astype("Int64"), "a": part["rep"], "b": pd.Series(np.nan, index=part.index, dtype="Int64"), **{c: part[c] for c in (*SIGNATURE, "n", "u")}})
-
-        rest, hot_value = pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("value", "rep", *SIGNATURE, "n", "u")}), None
+    def alike(words: list, n: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j), already near by their first word, stay."""
+        both = n[i] + n[j]
+        differ = np.bitwise_count(words[0][i] ^ words[0][j]).astype(np.int16) + np.bitwise_count(words[1][i] ^ words[1][j])
+        ok = (differ <= share * both + 1e-6) & (n[i] <= u[j]) & (n[j] <= u[i])
+        if (both > LONG).any():
+            differ = np.bitwise_count(words[2][i] ^ words[2][j]).astype(np.int16) + np.bitwise_count(words[3][i] ^ words[3][j])
+            ok &= (both <= LONG) | (differ <= most_hashed)
+        return ok
+
+    def pairs(lists: dict[str, np.ndarray]) -> pa.RecordBatch:
+        order = np.lexsort((lists["n"], lists["value"]))
+        value, rep, n, u = (lists[c][order] for c in ("value", "rep", "n", "u"))
+        words = [lists[c][order].view(np.uint64) for c in SIGNATURE]
+        left, right, first = [rep[:0]], [rep[:0]], words[0]
+        width, group = int(n.max()) + 1, np.cumsum(np.r_[0, value[1:] != value[:-1]])
+        place = np.arange(len(value))
+        end = np.searchsorted(group * width + n, group * width + np.clip(u, 0, width - 1), "right")
+        count = np.maximum(end - place - 1, 0)
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            ok = alike(words, n, u, i, j)
+            left.append(rep[i[ok]])
+            right.append(rep[j[ok]])
+
+        some = np.flatnonzero((count > 0) & (count <= 64))
+        for lo in range(0, len(some), 16384):
+            at = some[lo : lo + 16384]
+            i = np.repeat(at, count[at])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+            near = np.flatnonzero(np.bitwise_count(first[i] ^ first[j]) <= share * (n[i] + n[j]) + 1e-6)
+            keep(i[near], j[near])
+        many = np.flatnonzero(count > 64)
+        for lo in range(0, len(many), 32):
+            # Rows of one list that follow each other, against all they can reach.
+            for at in np.split(many[lo : lo + 32], np.flatnonzero(np.diff(group[many[lo : lo + 32]])) + 1):
+                low, high = int(at[0]) + 1, int(end[at].max())
+                most = int(share * (int(n[at[-1]]) + int(n[high - 1])) + 1e-6)
+                near = np.bitwise_count(first[at, None] ^ first[None, low:high]) <= most
+                at_row, at_col = np.divmod(np.flatnonzero(near), high - low)
+                i, j = at[at_row], at_col + low
+                inside = (j > i) & (j < end[i])
+                keep(i[inside], j[inside])
+        found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        return table(None, found[0], found[1], {})
+
+    def table(value: np.ndarray | None, a: np.ndarray, b: np.ndarray | None, rest: dict) -> pa.RecordBatch:
+        none, zero = pa.nulls(len(a), pa.int64()), np.zeros(len(a), dtype=np.int64)
+        columns = {"value": none if value is None else pa.array(value), "a": pa.array(a), "b": none if b is None else pa.array(b), **{c: pa.array(rest.get(c, zero)) for c in SIGNATURE}}
+        return pa.record_batch(columns | {c: pa.array(rest.get(c, zero).astype(np.int32)) for c in ("n", "u")})
+
+    def long_list(part: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return table(part["value"], part["rep"], None, part)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("value", "rep", *SIGNATURE, "n", "u")
+        rest, hot_value = {c: np.zeros(0, dtype=np.int64) for c in names}, None
         for batch in batches:
-            rest = pd.concat([rest, batch], ignore_index=True)
-            rest = rest[(rest["value"].diff() != 0) | (rest["rep"].diff() != 0)]
-            if not len(rest):
+            rest = {c: np.concatenate([rest[c], batch.column(c).to_numpy()]) for c in names}
+            if not len(rest["value"]):
                 continue
-            last = rest["value"].iloc[-1]
-            done, rest = rest[rest["value"] != last], rest[rest["value"] == last]
-            if hot_value is not None and len(done):
-                more = done["value"] == hot_value
-                if more.any():
-                    yield long_list(done[more])
-                    done = done[~more]
-            if len(done):
-                sizes = done.groupby("value")["rep"].transform("size")
-                if (sizes > hot).any():
-                    yield long_list(done[sizes > hot])
-                    done = done[sizes <= hot]
-                if len(done):
+            fresh = np.r_[True, (rest["value"][1:] != rest["value"][:-1]) | (rest["rep"][1:] != rest["rep"][:-1])]
+            rest = {c: v[fresh] for c, v in rest.items()}
+            last = rest["value"][-1]
+            cut = int(np.searchsorted(rest["value"], last))
+            done, rest = {c: v[:cut] for c, v in rest.items()}, {c: v[cut:] for c, v in rest.items()}
+            if cut:
+                starts = np.flatnonzero(np.r_[True, done["value"][1:] != done["value"][:-1]])
+                sizes = np.diff(np.r_[starts, cut])
+                large = np.repeat((sizes > hot) | (done["value"][starts] == hot_value if hot_value is not None else False), sizes)
+                if large.any():
+                    yield long_list({c: v[large] for c, v in done.items()})
+                    done = {c: v[~large] for c, v in done.items()}
+                if len(done["value"]):
                     yield pairs(done)
-            if last == hot_value or len(rest) > hot:
+            if last == hot_value or len(rest["value"]) > hot:
                 hot_value = last
                 yield long_list(rest)
-                rest = rest.iloc[:0]
-        if len(rest):
-            yield long_list(rest) if rest["value"].iloc[0] == hot_value else pairs(rest)
+                rest = {c: v[:0] for c, v in rest.items()}
+        if len(rest["value"]):
+            yield long_list(rest) if rest["value"][0] == hot_value else pairs(rest)
 
     return merge
 
@@ -271,7 +279,7 @@ def similar_classes(sets: DataFrame, threshold: float, skip: int = 32, skip_toke
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens * (1 - threshold) / PER_TASK))
     merged = written(
         posts.repartition(tasks, "value").sortWithinPartitions("value", "rep")
-        .mapInPandas(_merge(threshold, TOGETHER * hot), MERGED)
+        .mapInArrow(_merge(threshold, TOGETHER * hot), MERGED)
     )
     met = merged.where(F.col("b").isNotNull()).select("a", "b")
     long_lists = merged.where(F.col("b").isNull())
