@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import graph
 from .detectors import finding
 from .triples import ALL, BUILTIN, CLASS, COMPLEMENT, DISJOINT, EQUIVALENT, LABEL, ON, RESTRICTION, SOME, SUBCLASS, TYPE, classes, labels, restrictions, subclass_edges
@@ -65,7 +66,8 @@ def residual(triples: DataFrame, lists: DataFrame) -> DataFrame:
     """HIER-21, KA-B3: (class, why): defined by complement alone, or without differentia
     beside a sibling that has one. Where nothing is defined by equivalence the question
     cannot be asked: one row ``silent``."""
-    named, told = classes(triples), differentiated(triples, lists)
+    triples = written(triples)
+    named, told = classes(triples), written(differentiated(triples, lists))
     edges = subclass_edges(triples).join(named.select(F.col("class").alias("child")), "child")
     parents = edges.join(told.select(F.col("class").alias("child")), "child", "left_semi").select("parent").distinct()
     bare = edges.join(parents, "parent", "left_semi").select(F.col("child").alias("class")).distinct().join(told, "class", "left_anti")
@@ -79,6 +81,7 @@ def residual(triples: DataFrame, lists: DataFrame) -> DataFrame:
 def metrics(triples: DataFrame) -> DataFrame:
     """AUD, AGG-1, 2: (metric, value): the census and audit of a triple set, rates in
     percent of its classes."""
+    triples = written(triples)  # each metric is a query of its own
     named, edges, held = classes(triples), subclass_edges(triples).distinct(), restrictions(triples)
     has = lambda p: triples.where((F.col("p") == p) & (F.col("o") != "")).select(F.col("s").alias("class")).distinct()
     count = lambda df, name: df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
@@ -294,6 +297,7 @@ def with_default(rows: DataFrame, extra: DataFrame, key: str, column: str, defau
 def legal_checks(held: DataFrame, independent: DataFrame, triples: DataFrame) -> DataFrame:
     """LEGAL-1: (check, findings): D1 universal bearers, D2 several bearers, D3 labels of
     several names, D4 classes without a definition, D6 isolated classes."""
+    triples = written(triples)
     bears, inheres = held.where(F.col("property").isin("BFO_0000196", "obo:BFO_0000196")), held.where(F.col("property").isin("BFO_0000197", "obo:BFO_0000197"))
     multi = inheres.groupBy("class").agg(F.count_distinct("filler").alias("n")).where("n > 1")
     shared = labels(triples).where("label <> ''").groupBy("label").agg(F.count_distinct("iri").alias("n")).where("n > 1")
@@ -334,6 +338,10 @@ def scoped_senses(definitions: DataFrame) -> DataFrame:
     return sense.join(first, ["label", "key"]).join(general, "label").select("label", "act", "sense", (F.col("act") == F.col("general")).alias("general"))
 
 
+def _shifted(i: int, step: int):
+    return lambda cell, at: F.when(at == i, cell + step).otherwise(cell)
+
+
 def vector_clusters(vectors: DataFrame, threshold: float = 0.92, high: float = 0.96, pivots: int = 3) -> DataFrame:
     """HIER-16: (vec_id, cluster, least, confidence): components of ``vectors(vec_id, v)``
     over pairs with a cosine of ``threshold`` or more; ``least`` is the smallest such
@@ -351,11 +359,9 @@ def vector_clusters(vectors: DataFrame, threshold: float = 0.92, high: float = 0
     cells = unit.withColumn("cell", F.array(*[F.floor(d / radius) for d in far]) if far else F.array())
     near = cells
     for i in range(len(chosen)):
-        near = near.withColumn("cell", F.explode(F.array(*[F.transform("cell", lambda c, j, i=i, s=s: F.when(j == i, c + s).otherwise(c)) for s in (-1, 0, 1)])))
+        near = near.withColumn("cell", F.explode(F.array(*[F.transform("cell", _shifted(i, s)) for s in (-1, 0, 1)])))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     pairs = cells.join(near.select(F.col("vec_id").alias("other"), F.col("v").alias("w"), "cell"), "cell").where("vec_id < other").withColumn("cosine", dot).where(F.col("cosine") >= threshold).select("vec_id", "other", "cosine").distinct()
-    from ..session import written
-
     pairs = written(pairs)
     groups = graph.components(pairs.select(F.col("vec_id").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("component", "cluster")
     least = pairs.join(groups.withColumnRenamed("node", "vec_id"), "vec_id").groupBy("cluster").agg(F.round(F.min("cosine"), 4).alias("least"))

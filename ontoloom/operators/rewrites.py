@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import graph
 from .lint import expression
 from .triples import CLASS, DISJOINT, ON, RESTRICTION, SOME, SUBCLASS, TYPE, subclass_edges
@@ -30,6 +31,7 @@ def apply_delta(triples: DataFrame, plus: DataFrame, minus: DataFrame) -> DataFr
 def rollback(triples: DataFrame, before: DataFrame, plus: DataFrame, minus: DataFrame) -> DataFrame:
     """MUT-1: takes a delta back: what it added and was not there before goes, what it
     removed and was there comes back."""
+    triples, before = written(triples), written(before.select(*OWN).distinct())
     new = plus.select(*OWN).distinct().join(before.select(*OWN), OWN, "left_anti")
     gone = before.select(*OWN).join(minus.select(*OWN).distinct(), OWN, "left_semi")
     return added(triples.join(new, OWN, "left_anti"), gone)
@@ -70,6 +72,7 @@ def without_property_parents(triples: DataFrame) -> DataFrame:
 
 def without_kin_disjointness(triples: DataFrame) -> DataFrame:
     """MUT-8: without disjointness between a class and one above it."""
+    triples = written(triples)
     reach = graph.closure(subclass_edges(triples)).select("node", "ancestor")
     pairs = triples.where(F.col("p") == DISJOINT)
     down = pairs.join(reach.toDF("s", "o"), ["s", "o"], "left_semi").select(*OWN)
@@ -81,12 +84,11 @@ def collision_repair(types: DataFrame, disjoint: DataFrame, max_rounds: int = 6)
     """MUT-7: (s, type, rank): of ``types(s, type, rank)`` that clash by ``disjoint(a, b)``
     the one of the lower rank stays, round by round; what still clashes after
     ``max_rounds`` raises."""
-    from ..session import written
-
     pairs = disjoint.select("a", "b").unionAll(disjoint.select("b", "a")).distinct()
     held = written(types.distinct())
     for _ in range(max_rounds):
-        one = held.join(pairs.toDF("type", "other"), "type").join(held.toDF("s", "other", "other_rank"), ["s", "other"])
+        rival = held.select("s", F.col("type").alias("other"), F.col("rank").alias("other_rank"))
+        one = held.join(pairs.toDF("type", "other"), "type").join(rival, ["s", "other"])
         worse = one.where("rank > other_rank or (rank = other_rank and type > other)").groupBy("s").agg(F.max(F.struct("rank", "type")).alias("w")).select("s", "w.type")
         if worse.isEmpty():
             return held

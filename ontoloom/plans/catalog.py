@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data, gating, hierarchy, live, measuring, ontology, proposals, reports, terms, texts
+from . import audits, data, gating, hierarchy, live, measuring, ontology, proposals, reports, terms, texts
 
-MODULES: list = [hierarchy, ontology, measuring, texts, gating, proposals, terms, reports, live, data]
+MODULES: list = [hierarchy, ontology, measuring, texts, gating, proposals, terms, audits, reports, live, data]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
