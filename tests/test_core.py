@@ -139,7 +139,7 @@ def test_dispersion_gates(spark):
 def test_grounding_vectors():
     passage = "Consent should be given by a clear affirmative act establishing a freely given, specific indication. It must be asked for in plain words."
     assert grounding.snap("a clear  affirmative act", passage)[0] == "verbatim"
-    status, text, ratio = grounding.snap("Consent should be given by clear affirmative act establishing a freely given", passage)
+    status, text, ratio, _, _ = grounding.snap("Consent should be given by clear affirmative act establishing a freely given", passage)
     assert status == "snapped" and text.startswith("Consent should be given by a clear") and ratio >= 0.85
     for bad in ("", "...", "Consent ... act", "agreement needs words", "specific indication. It must be asked for in plain sentences"):
         assert grounding.snap(bad, passage)[0] == "unverified"
@@ -147,7 +147,7 @@ def test_grounding_vectors():
 
 def test_segmentation():
     text = "(1) Whereas one.\n\nHAVE ADOPTED THIS\nArticle 4\nDefinitions\n1. First rule:\n(a) a point;\n(b) another.\n2. Second rule.\nArticle 5\nScope.\n"
-    assert [u[0] for u in grounding.split_units(text)] == ["rec_1", "art_4", "art_4/par_1", "art_4/par_1/pnt_a", "art_4/par_1/pnt_b", "art_4/par_2", "art_5"]
+    assert [u[0] for u in grounding.split_units(text)] == ["rec_1", "unknown", "art_4", "art_4/par_1", "art_4/par_1/pnt_a", "art_4/par_1/pnt_b", "art_4/par_2", "art_5"]
     assert grounding.split_units("no structure at all")[0][0] == "unknown" and grounding.split_units("") == []
     body = "\n\n".join(f"Paragraph {i}. " + "word " * 30 for i in range(40))
     chunks = grounding.chunk_text(body, 500, 50)
@@ -166,8 +166,13 @@ def test_hash_chain(spark):
 def test_debt_rules(spark):
     rows = [("A", "defect", 2.0, "L1", s, "source", "x y z") for s in range(4)] + [("B", "defect", 2.0, "L1", s, "source", "d") for s in range(8)] + [("C", "coverage", 9.0, "L1", 1, "source", "d"), ("D", "defect", 5.0, "L1", 1, "translation", "d")]
     f = spark.createDataFrame(rows, "code STRING, kind STRING, weight DOUBLE, locus STRING, subject INT, attribution STRING, detail STRING")
-    got = {r.code: (r.saturated, r.debt) for r in measures.debt(f, spark.range(10)).collect()}
-    assert got == {"A": (False, 8.0), "B": (True, 0.0), "C": (False, 0.0)}
+    registry = spark.createDataFrame([("A", "defect", 2.0), ("B", "defect", 2.0), ("C", "coverage", 9.0), ("D", "defect", 5.0)], "code STRING, kind STRING, weight DOUBLE")
+    got = {r.code: (r.saturated, r.debt, r.translation) for r in measures.debt(f, registry, 10).collect()}
+    assert got == {"A": (False, 8.0, 0), "B": (True, 0.0, 0), "C": (False, 0.0, 0), "D": (False, 0.0, 1)}
+    more = {r.code: (r.findings, r.undetermined) for r in measures.debt(f, registry, 10, spark.createDataFrame([("A", 5)], "code STRING, total BIGINT")).collect()}
+    assert more["A"] == (5, 1)
+    with pytest.raises(Exception, match="unknown code B"):
+        measures.debt(f, registry.where("code <> 'B'"), 10).collect()
 
 
 def test_bnodes_and_malformed(spark):
