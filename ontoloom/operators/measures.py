@@ -51,9 +51,9 @@ def debt(findings: DataFrame, registry: DataFrame, population: int, totals: Data
     else:
         own = own.withColumn("total", F.lit(0))
     known = own.join(F.broadcast(registry), "code", "left")
-    kind = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("unknown code "), "code")).cast("string")).otherwise(F.col("kind"))
+    code = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("unknown code "), "code")).cast("string")).otherwise(F.col("code"))
     seen, total = F.coalesce("seen", F.lit(0)), F.coalesce("total", F.lit(0)).cast("bigint")
-    rows = known.select("code", kind.alias("kind"), "weight", F.greatest(seen, total).alias("findings"), (F.coalesce("open", F.lit(0)) + F.greatest(total - seen, F.lit(0))).alias("undetermined"), F.coalesce("translation", F.lit(0)).alias("translation"))
+    rows = known.select(code.alias("code"), "kind", "weight", F.greatest(seen, total).alias("findings"), (F.coalesce("open", F.lit(0)) + F.greatest(total - seen, F.lit(0))).alias("undetermined"), F.coalesce("translation", F.lit(0)).alias("translation"))
     rate = F.round(F.col("findings") / F.greatest(F.lit(population), F.lit(1)), 6)
     return rows.withColumn("rate", rate).select(
         "code", "findings", "undetermined", "translation", "rate", (F.col("rate") > SATURATED).alias("saturated"),
