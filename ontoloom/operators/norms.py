@@ -3,7 +3,10 @@ quotes and instruments."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PATHWAYS, VAGUE, clause_kind, content_tokens, rule_root
@@ -11,6 +14,11 @@ from ..session import written
 
 CAPACITIES = ("power", "permission")
 COVERAGE = 0.5
+#: All kinds of pathways, in order, and those that a capacity's own tuple is no route by.
+KINDS = sorted([*dict(PATHWAYS), "deadline", "recipient"])
+OWN_ONLY = ("recipient", "order")
+#: Tuples of a corpus that meet its needs in one task.
+BLOCK = 8192
 
 
 def tuples(norm_tuples: DataFrame) -> DataFrame:
@@ -31,45 +39,92 @@ def tuples(norm_tuples: DataFrame) -> DataFrame:
     )
 
 
+def _summed() -> Column:
+    return F.array(*[F.sum(F.col("n")[i]) for i in range(len(KINDS))])
+
+
+def _served(needs: pa.Table, useful: pa.Table) -> pa.Table:
+    """(corpus_id, need, n): for each need of a corpus the number of the block's tuples
+    that have half of its words, by kind."""
+    needs, useful = needs.combine_chunks(), useful.combine_chunks()
+    words, tokens = (t.column(c).combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.string())) for t, c in ((needs, "words"), (useful, "tokens")))
+    kinds = np.array([[k in row for k in KINDS] for row in useful.column("kinds").to_pylist()], dtype=np.float32).reshape(-1, len(KINDS))
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, flat, held = np.cumsum(size) - size, words.flatten().dictionary_encode(), tokens.flatten()
+    code, place = flat.indices.to_numpy(), pc.index_in(held, value_set=flat.dictionary)
+    row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))[pc.is_valid(place).to_numpy(zero_copy_only=False)]
+    place, order = place.drop_null().to_numpy(), np.argsort(size, kind="stable")
+    found = np.zeros((len(size), len(KINDS)), dtype=np.int64)
+    for lo in range(0, len(order), 512):
+        part = order[lo : lo + 512]
+        own = np.unique(np.concatenate([code[start[i] : start[i] + size[i]] for i in part]))
+        # One row a word, and a last one for the places that a short need leaves empty.
+        near = np.full(len(flat.dictionary), -1)
+        near[own] = np.arange(len(own))
+        has = np.zeros((len(own) + 1, len(tokens)), dtype=np.uint16 if size[part].max() > 255 else np.uint8)
+        at = near[place]
+        has[at[at >= 0], row[at >= 0]] = 1
+        shared = np.zeros((len(part), len(tokens)), dtype=has.dtype)
+        for j in range(int(size[part].max())):
+            shared += has[np.where(j < size[part], near[code[np.minimum(start[part] + j, len(code) - 1)]], len(own))]
+        found[part] = (shared >= np.ceil(size[part] * COVERAGE)[:, None]).astype(np.float32) @ kinds
+    some = np.flatnonzero(found.any(axis=1))
+    return pa.table({"corpus_id": needs.column("corpus_id").take(some), "need": needs.column("need").take(some), "n": pa.array(list(found[some]), pa.list_(pa.int64()))})
+
+
+def _by_wording(inner: DataFrame, useful: DataFrame) -> DataFrame:
+    """(corpus_id, need, n): the tuples of the corpus that have half of the need's words,
+    counted by kind. The tuples of a corpus are cut into blocks, and a block meets the
+    needs of its corpus in one task, so that no pair of them is ever a row."""
+    blocks = useful.groupBy("corpus_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    needs = inner.where(F.size("need") > 0).select("corpus_id", F.array_join("need", " ").alias("need"), F.col("need").alias("words")).distinct()
+    needs = needs.join(blocks, "corpus_id").select("corpus_id", "need", "words", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = useful.join(blocks, "corpus_id").select("corpus_id", "tokens", "kinds", F.pmod(F.xxhash64("tuple_id"), "blocks").cast("int").alias("block"))
+    met = needs.groupBy("corpus_id", "block").cogroup(held.toDF("of", "tokens", "kinds", "at").groupBy("of", "at")).applyInArrow(_served, "corpus_id STRING, need STRING, n ARRAY<BIGINT>")
+    return met.groupBy("corpus_id", "need").agg(_summed().alias("n"))
+
+
+def _by_place(inner: DataFrame, useful: DataFrame) -> DataFrame:
+    """(corpus_id, root, bearer_role, n): the tuples under the same rule with the same
+    actor, or addressed to it, counted by kind. Which parties an actor is one of is
+    found once for each pair of names."""
+    at = useful.where("root <> ''").groupBy("corpus_id", "root", "bearer_role", "party").agg(F.array(*[F.count_if(F.array_contains("kinds", k)) for k in KINDS]).alias("n"))
+    actors = inner.where("root <> '' and bearer_role <> ''").select("bearer_role").distinct().withColumn("actor", content_tokens(F.col("bearer_role")))
+    parties = at.select("party").distinct().select("party", F.explode("party").alias("w"))
+    named = actors.withColumn("w", F.try_element_at("actor", F.lit(1))).join(parties, "w").where(F.size(F.array_except("actor", "party")) == 0).select(F.col("bearer_role").alias("holder"), "party")
+    addressed = at.join(named, "party").where(~F.col("bearer_role").eqNullSafe(F.col("holder"))).select("corpus_id", "root", F.col("holder").alias("bearer_role"), "n")
+    same = at.where("bearer_role <> ''").select("corpus_id", "root", "bearer_role", "n")
+    return same.unionAll(addressed).groupBy("corpus_id", "root", "bearer_role").agg(_summed().alias("n"))
+
+
 def capacities(norm_tuples: DataFrame) -> DataFrame:
     """PATH-1, 2: (tuple_id, corpus_id, role, verdict, kinds): for each capacity the
     kinds of the tuples of its corpus that refer to it.
 
     A tuple refers to a capacity by wording (it has half of the capacity's words), by
     place (same rule, and the same actor or addressed to it), or is the capacity's
-    own, whose recipient and order are no route. The wording is an inverted join in
-    which a capacity is posted under its rarest words only: one that shares half of
-    n words shares one of the n - n/2 + 1 rarest. Equal needs are one need and equal
-    (tokens, kinds) one candidate with a count, so copies never multiply."""
+    own, whose recipient and order are no route. Equal needs are one need, and all
+    that is kept of the tuples that serve one is their number by kind: as a capacity
+    always refers to itself, two of a kind tell that another one does."""
     rows = written(tuples(norm_tuples))
     caps = rows.where(F.col("modality").isin(*CAPACITIES))
     inner = caps.where(~F.coalesce("external_reference", F.lit(False)))
     useful = rows.where(F.size("kinds") > 0)
-    words = useful.groupBy("corpus_id", "tokens", "kinds").agg(F.count("*").alias("n"))
-    posted = words.select("*", F.explode("tokens").alias("w"))
-    df = posted.groupBy("corpus_id", "w").agg(F.count("*").alias("df"))
-    need = inner.where(F.size("need") > 0).select("corpus_id", "need").distinct()
-    ranked = need.select("corpus_id", "need", F.explode("need").alias("w")).join(df, ["corpus_id", "w"], "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
-    rarest = ranked.groupBy("corpus_id", "need").agg(order.alias("o"))
-    prefix = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * COVERAGE).cast("int") + 1)
-    probes = rarest.select("corpus_id", "need", F.explode(prefix).alias("s")).select("corpus_id", "need", F.col("s.w").alias("w"))
-    met = probes.join(posted, ["corpus_id", "w"]).where(F.size(F.array_intersect("need", "tokens")) >= F.size("need") * COVERAGE)
-    met = met.select("corpus_id", "need", "tokens", "kinds", "n").distinct()
-    by_words = met.select("corpus_id", "need", F.explode("kinds").alias("kind"), "n").groupBy("corpus_id", "need", "kind").agg(F.sum("n").alias("n"))
-    own_kinds = F.col("kinds").alias("own")
-    wording = inner.select("tuple_id", "corpus_id", "need", own_kinds).join(by_words, ["corpus_id", "need"]).select("tuple_id", "own", "kind", "n")
-    at = useful.where("root <> ''").groupBy("corpus_id", "root", F.col("bearer_role").alias("role"), "party", "kinds").agg(F.count("*").alias("n"))
-    holders = inner.where("root <> '' and bearer_role <> ''").select("tuple_id", "corpus_id", "root", "bearer_role", own_kinds, content_tokens(F.col("bearer_role")).alias("actor"))
-    addressed = (F.size("actor") > 0) & (F.size(F.array_except("actor", "party")) == 0)
-    place = holders.join(at, ["corpus_id", "root"]).where(F.coalesce(F.col("role") == F.col("bearer_role"), F.lit(False)) | addressed)
-    placed = place.select("tuple_id", "own", F.explode("kinds").alias("kind"), "n").groupBy("tuple_id", "own", "kind").agg(F.sum("n").alias("n"))
-    barred = F.col("kind").isin("recipient", "order") & F.array_contains("own", F.col("kind"))
-    other = wording.unionAll(placed).where(~barred | (F.col("n") >= 2)).select("tuple_id", "kind")
-    own = inner.select("tuple_id", F.explode(F.array_except("kinds", F.array(F.lit("recipient"), F.lit("order")))).alias("kind"))
-    grouped = other.unionAll(own).groupBy("tuple_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    verdict = F.when(F.coalesce("external_reference", F.lit(False)), "external").when(F.col("kinds").isNotNull(), "pathway_found").otherwise("no_pathway")
-    return caps.select("tuple_id", "corpus_id", "external_reference", F.coalesce("bearer_role", F.lit("")).alias("role")).join(grouped, "tuple_id", "left").select("tuple_id", "corpus_id", "role", verdict.alias("verdict"), "kinds")
+    wording, place = _by_wording(inner, useful), _by_place(inner, useful)
+    keyed = caps.select("tuple_id", "corpus_id", "external_reference", "root", "bearer_role", F.array_join("need", " ").alias("need"), "kinds")
+    keyed = keyed.join(wording.withColumnRenamed("n", "by_words"), ["corpus_id", "need"], "left").join(place.withColumnRenamed("n", "by_place"), ["corpus_id", "root", "bearer_role"], "left")
+
+    def served(i: int, kind: str) -> Column:
+        own = F.array_contains("kinds", kind)
+        least = F.when(own, 2).otherwise(1) if kind in OWN_ONLY else F.lit(1)
+        other = F.coalesce(F.col("by_words")[i] >= least, F.lit(False)) | F.coalesce(F.col("by_place")[i] >= least, F.lit(False))
+        return F.when(other if kind in OWN_ONLY else other | own, kind)
+
+    external = F.coalesce("external_reference", F.lit(False))
+    found = F.array_compact(F.array(*[served(i, k) for i, k in enumerate(KINDS)]))
+    kinds = F.when(~external & (F.size(found) > 0), F.array_join(found, ","))
+    verdict = F.when(external, "external").when(F.col("kinds").isNotNull(), "pathway_found").otherwise("no_pathway")
+    return keyed.select("tuple_id", "corpus_id", F.coalesce("bearer_role", F.lit("")).alias("role"), "external_reference", kinds.alias("kinds")).select("tuple_id", "corpus_id", "role", verdict.alias("verdict"), "kinds")
 
 
 def kd3(norm_tuples: DataFrame) -> DataFrame:

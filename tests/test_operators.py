@@ -1,12 +1,13 @@
 """Vectors of the operators that have no twin, or whose twin cannot show them."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text as T
-from ontoloom.operators import audit, catalog, extraction, grounding, lint, rewrites, terms
+from ontoloom.operators import audit, catalog, extraction, grounding, lint, norms, rewrites, terms
 from ontoloom.operators import triples as G
 from ontoloom.sources import corpus, rdf
 
@@ -198,3 +199,38 @@ def test_vector_clusters(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.99, 0.05]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (2, [0.99, 0.05])]
     got = audit.vector_clusters(spark.createDataFrame(rows, "vec_id BIGINT, v ARRAY<DOUBLE>"), 0.92, 0.96).collect()
     assert {(r.vec_id, r.cluster, r.confidence) for r in got} == {(1, 1, "high"), (2, 1, "high")}
+
+def test_capacities_meet_tuples_in_blocks(spark, monkeypatch):
+    """Needs meet blocks of tuples: however blocks are cut the kinds are the same, and no
+    pair of a need and a tuple becomes a row of a join."""
+    rng = random.Random(5)
+    words = "annotate seal record permit licence warrant exhibit notice order form motion".split()
+    schema = "tuple_id STRING, corpus_id STRING, source_locator STRING, bearer_role STRING, modality STRING, action STRING, conditions ARRAY<STRING>, deadline STRING, counterparty STRING, source_quote STRING, external_reference BOOLEAN"
+    rows = [
+        (f"t{i:03}", rng.choice(["a", "a", "b", None]), rng.choice(["Rule 1(a)", "Rule 2", "", None]), rng.choice(["grantor", "the clerk", "", None]), rng.choice(["power", "Permission", "duty"]), rng.choice([" ".join(rng.sample(words, rng.randint(1, 7))), None, "of the"]),
+         [], rng.choice([None, "3 days"]), rng.choice([None, "the clerk of records", "grantor", "anyone"]), rng.choice([None, " ".join(rng.sample(words, 3))]), rng.random() < 0.1)
+        for i in range(160)
+    ]
+    table = spark.createDataFrame([*rows, rows[3]], schema)
+    tuples = {r.tuple_id: r for r in norms.tuples(table).collect()}
+    actor = {r.bearer_role: set(r.a) for r in table.select("bearer_role", norms.content_tokens(F.coalesce("bearer_role", F.lit(""))).alias("a")).collect()}
+    want = {}
+    for c in tuples.values():
+        if c.modality not in norms.CAPACITIES:
+            continue
+        kinds = set()
+        for t in tuples.values() if not c.external_reference else []:
+            half = len(c.need) > 0 and 2 * len(set(c.need) & set(t.tokens)) >= len(c.need)
+            place = bool(c.root and c.bearer_role) and c.root == t.root and (c.bearer_role == t.bearer_role or (actor[c.bearer_role] and actor[c.bearer_role] <= set(t.party)))
+            if t.tuple_id == c.tuple_id:
+                kinds |= {k for k in t.kinds if k not in ("recipient", "order")}
+            elif c.corpus_id is not None and c.corpus_id == t.corpus_id and (half or place):
+                kinds |= set(t.kinds)
+        want[c.tuple_id] = ",".join(sorted(kinds)) or None
+    assert any(v is None for v in want.values()) and len(set(want.values())) > 5
+    for block in (8192, 7):
+        monkeypatch.setattr(norms, "BLOCK", block)
+        out = norms.capacities(table)
+        assert {r.tuple_id: r.kinds for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(tokens" not in plan
