@@ -234,3 +234,15 @@ def test_capacities_meet_tuples_in_blocks(spark, monkeypatch):
         assert {r.tuple_id: r.kinds for r in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(tokens" not in plan
+
+
+def test_kd3_joins_no_tuple_with_a_need(spark):
+    """The findings come from counts by need: no join of the plan carries token arrays."""
+    schema = "tuple_id STRING, corpus_id STRING, source_locator STRING, bearer_role STRING, modality STRING, action STRING, conditions ARRAY<STRING>, deadline STRING, counterparty STRING, source_quote STRING, external_reference BOOLEAN"
+    row = lambda i, role, quote, ext=False: (i, "a", "Rule 1", role, "power", "seal the record", [], None, None, quote, ext)
+    table = spark.createDataFrame([row("t1", "grantor", None), row("t2", None, "x"), row("t3", "clerk", None, True)], schema)
+    out = norms.kd3(table)
+    assert {tuple(r) for r in out.collect()} == {("t1", "K-D3", 0.8), ("t2", "K-D3", 0.6)}
+    assert "explode(tokens" not in out._jdf.queryExecution().optimizedPlan().toString()
+    more = norms.kd3(table.unionAll(spark.createDataFrame([row("t4", "x", "seal a record by motion")], schema)))
+    assert more.count() == 0
