@@ -81,24 +81,37 @@ def residual(triples: DataFrame, lists: DataFrame) -> DataFrame:
 def metrics(triples: DataFrame) -> DataFrame:
     """AUD, AGG-1, 2: (metric, value): the census and audit of a triple set, rates in
     percent of its classes."""
-    triples = written(triples)  # each metric is a query of its own
-    named, edges, held = classes(triples), subclass_edges(triples).distinct(), restrictions(triples)
-    has = lambda p: triples.where((F.col("p") == p) & (F.col("o") != "")).select(F.col("s").alias("class")).distinct()
+    triples = written(triples)
+    is_, held = F.col("p") == TYPE, restrictions(triples)
+    some = lambda rows: F.coalesce(F.bool_or(rows), F.lit(False))
+    has = lambda p: some((F.col("p") == p) & (F.col("o") != ""))
+    # What is said of a subject is told once; the metrics of subjects are sums over these rows.
+    facts = written(triples.groupBy("s").agg(
+        some(is_ & (F.col("o") == CLASS) & (F.col("s_kind") == "iri")).alias("class"), has(LABEL).alias("labelled"), has(DEFINITION).alias("defined"), has(COMMENT).alias("commented"),
+        some((F.col("p") == STATUS) & (F.col("o") == "absent-in-source")).alias("deferred"), F.count_if(is_ & (F.col("o") == RESTRICTION)).alias("restrictions"), some(F.col("p").isin(SOME, ALL, "owl:hasValue")).alias("filled"),
+    ))
+    named = facts.where("class").select(F.col("s").alias("class"))
+    edges = written(subclass_edges(triples).distinct())
     count = lambda df, name: df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-    deferred = triples.where((F.col("p") == STATUS) & (F.col("o") == "absent-in-source")).select(F.col("s").alias("class")).distinct()
-    intended = triples.where(~F.col("p").rlike(BUILTIN) & (F.col("o_kind") == "iri")).join(named.select(F.col("class").alias("s")), "s", "left_semi").join(named.select(F.col("class").alias("o")), "o", "left_semi")
+    intended = triples.where(~F.col("p").rlike(BUILTIN) & (F.col("o_kind") == "iri")).select("s", "o").join(named.select(F.col("class").alias("s")), "s", "left_semi").join(named.select(F.col("class").alias("o")), "o", "left_semi")
     reach = graph.closure(edges)
-    empty = triples.where((F.col("p") == TYPE) & (F.col("o") == RESTRICTION)).select("s").join(triples.where(F.col("p").isin(SOME, ALL, "owl:hasValue")).select("s"), "s", "left_anti")
-    known = named.join(reach.where(F.col("ancestor").startswith("obo:")).select(F.col("node").alias("class")).distinct(), "class", "left_anti").where(~F.col("class").startswith("obo:"))
+    known = named.where(~F.col("class").startswith("obo:")).join(reach.where(F.col("ancestor").startswith("obo:")).select(F.col("node").alias("class")).distinct(), "class", "left_anti")
+
+    def counts(df: DataFrame, **sums: Column) -> DataFrame:
+        one = df.agg(*[F.coalesce(F.sum(v.cast("bigint")), F.lit(0)).cast("double").alias(k) for k, v in sums.items()])
+        return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in sums])))
+
+    named_, upper = F.col("class"), F.col("filler").startswith("obo:")
+    malformed = F.col("s").rlike(r"#\w+:\w+|[\s<>{}|\\^`]|^working:\w+:\w+|^working:(?:BFO|RO|IAO)_\d+")
     parts = [
-        count(triples, "triples"), count(named, "classes"), count(edges, "subclass_axioms"), count(held, "restrictions"), count(empty, "empty_restrictions"),
-        count(held.where(F.col("filler").startswith("obo:")), "upper_fillers"), count(held.where(~F.col("filler").startswith("obo:")), "domain_fillers"),
-        count(intended, "punned_triples"), count(triples.where(F.col("p").rlike(STANDARD)), "mangled_standard_predicates"),
-        count(triples.select("s").distinct().where(F.col("s").rlike(r"#\w+:\w+|[\s<>{}|\\^`]|^working:\w+:\w+|^working:(?:BFO|RO|IAO)_\d+")), "malformed_iris"),
-        count(named.join(has(LABEL), "class", "left_semi"), "labelled"), count(named.join(has(DEFINITION), "class", "left_semi"), "defined"), count(named.join(has(DEFINITION).unionAll(deferred), "class", "left_semi"), "defined_or_deferred"),
-        count(named.join(has(COMMENT), "class", "left_semi"), "commented"), count(triples.where((F.col("p") == DISJOINT) & ~F.col("s").startswith("obo:")), "local_disjointness"),
-        count(labels(triples).where(F.col("label").rlike(META)), "meta_labels"), count(graph.redundant_parents(edges, reach), "redundant_parents"), count(graph.multi_parents(edges), "multi_parents"),
-        count(known, "unanchored"), edges.groupBy("parent").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("value")).select(F.lit("max_fan_out").alias("metric"), "value"),
+        counts(triples, triples=F.lit(1), mangled_standard_predicates=F.col("p").rlike(STANDARD), local_disjointness=(F.col("p") == DISJOINT) & ~F.col("s").startswith("obo:"), meta_labels=(F.col("p") == LABEL) & F.col("o").rlike(META)),
+        counts(
+            facts, classes=named_, labelled=named_ & F.col("labelled"), defined=named_ & F.col("defined"), defined_or_deferred=named_ & (F.col("defined") | F.col("deferred")), commented=named_ & F.col("commented"),
+            malformed_iris=malformed, empty_restrictions=F.when(~F.col("filled"), F.col("restrictions")),
+        ),
+        counts(held, restrictions=F.lit(1), upper_fillers=upper, domain_fillers=~upper), count(edges, "subclass_axioms"), count(intended, "punned_triples"),
+        count(graph.redundant_parents(edges, reach), "redundant_parents"), count(graph.multi_parents(edges), "multi_parents"), count(known, "unanchored"),
+        edges.groupBy("parent").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("value")).select(F.lit("max_fan_out").alias("metric"), "value"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -85,9 +85,10 @@ def cycle_components(reach: DataFrame) -> DataFrame:
 def redundant_parents(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """(child, parent): HIER-10, parents that another parent already implies."""
     direct = edges.distinct()
-    other = direct.select("child", F.col("parent").alias("via"))
-    implied = reach.select(F.col("node").alias("via"), F.col("ancestor").alias("parent"))
-    return direct.join(other, "child").where(F.col("parent") != F.col("via")).join(implied, ["via", "parent"]).select("child", "parent").distinct()
+    implied = reach.where(F.col("node") != F.col("ancestor")).select(F.col("node").alias("via"), F.col("ancestor").alias("parent"))
+    # What a parent implies is few; the parents of a child are never joined with each other.
+    over = direct.select("child", F.col("parent").alias("via")).join(implied, "via").select("child", "parent")
+    return direct.join(over, ["child", "parent"], "left_semi")
 
 
 def multi_parents(edges: DataFrame) -> DataFrame:

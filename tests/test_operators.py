@@ -246,3 +246,14 @@ def test_kd3_joins_no_tuple_with_a_need(spark):
     assert "explode(tokens" not in out._jdf.queryExecution().optimizedPlan().toString()
     more = norms.kd3(table.unionAll(spark.createDataFrame([row("t4", "x", "seal a record by motion")], schema)))
     assert more.count() == 0
+
+
+def test_metrics_are_sums_over_one_row_a_subject(spark, tmp_path):
+    """No metric groups or joins the triples anew where a flag of the subject tells it, and
+    the parents of a child are not joined with each other."""
+    hub = CLEAN + "".join(f":Hub rdfs:subClassOf :P{i} . :P{i} a owl:Class . " for i in range(30)) + ":Hub a owl:Class . :P1 rdfs:subClassOf :P0 .\n"
+    out = audit.metrics(read(spark, tmp_path, hub))
+    got = {r.metric: r.value for r in out.collect()}
+    assert got["redundant_parents"] == 1 and got["multi_parents"] == 1 and got["max_fan_out"] >= 1 and got["classes"] == 34
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 24, plan.count("Join ")
