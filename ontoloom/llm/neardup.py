@@ -15,8 +15,8 @@ each class is compared.
    however frequent their tokens are. A posting carries n and the size u of the
    largest class that can still match if this token is the first shared one.
 3. *Collisions.* Lists are merged in order of coordinate value, and within a list
-   in order of size, so that sizes out of reach are skipped. A posting carries a
-   signature of ``BITS`` coordinates, each the parity of the tokens that hash to
+   in order of size and reach: two sizes meet in a box that holds the postings within
+   each other's reach and no others. A posting carries a signature of ``BITS`` coordinates, each the parity of the tokens that hash to
    it. Two classes differ in at least as many tokens as coordinates, so a pair at
    the threshold collides in all but (1-t)/(1+t)(n+m) of them at most: the match
    threshold loses nothing. Where that bound says little (n + m above ``LONG``)
@@ -25,8 +25,8 @@ each class is compared.
 4. *Exact check* on the token sets of the pairs that are left.
 
 A list longer than ``TOGETHER`` times ``hot`` is not merged in one task: it is cut
-into blocks of ``hot``, and blocks meet blocks in tasks of their own. No list and
-no pair is dropped. Where all tokens are frequent the comparisons grow with the
+into blocks of half that, and any two blocks are merged as a list of their own. No
+list and no pair is dropped. Where all tokens are frequent the comparisons grow with the
 square of the records.
 
 Defined cases: null texts count as empty; records without a token, or without a
@@ -35,6 +35,7 @@ gives no pairs."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import written
 
-BITS, LONG, TOGETHER, PER_TASK = 128, 290, 16, 2_000_000
+BITS, LONG, TOGETHER, PER_TASK, TILE = 128, 290, 16, 2_000_000, 1 << 17
 #: Two words of parities, two of one-bit min-hashes (zero in classes too short to need them).
 SIGNATURE = ("s1", "s2", "s3", "s4")
 SEED = 20261
@@ -139,54 +140,82 @@ def least_match(threshold: float, sigmas: float = 5.2, bits: int = BITS) -> int:
     return math.floor(bits * p - sigmas * math.sqrt(bits * p * (1 - p)))
 
 
+def _set_places(flags: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of flags that are mostly unset."""
+    whole = len(flags) // 8 * 8
+    some = np.flatnonzero(flags[:whole].view(np.uint64))
+    row, col = np.nonzero(flags[:whole].reshape(-1, 8)[some])
+    return np.r_[some[row] * 8 + col, whole + np.flatnonzero(flags[whole:])]
+
+
+def _boxes(value: np.ndarray, n: np.ndarray, u: np.ndarray) -> Iterator[tuple]:
+    """The pairs of postings within each other's reach, as boxes (first row, first
+    column, rows, columns) of postings sorted by value, n and falling u. Those of a
+    list and size that reach another size come first among their own, so a box is all
+    that two sizes of a list have to compare. Small boxes come many at once, as arrays."""
+    fresh = np.r_[True, (value[1:] != value[:-1]) | (n[1:] != n[:-1])]
+    at, group, width = np.flatnonzero(fresh), np.cumsum(fresh) - 1, int(max(n.max(), u.max())) + 1
+    size, of = n[at], np.cumsum(np.r_[0, value[at][1:] != value[at][:-1]])
+    reach = np.searchsorted(of * width + size, of * width + u[at], "right")
+    count = np.maximum(reach - np.arange(len(at)), 0)
+    g = np.repeat(np.arange(len(at)), count)
+    h = g + np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+    key = group * width - u
+    rows = np.searchsorted(key, g * width - size[h], "right") - at[g]
+    cols = np.searchsorted(key, h * width - size[g], "right") - at[h]
+    area = np.where((g == h) & (rows < 2), 0, rows * cols)
+    a, b, few = at[g], at[h], np.flatnonzero((area > 0) & (area <= 4096))
+    for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(area[few]) // TILE)) + 1):
+        if len(part):
+            yield a[part], b[part], rows[part], cols[part]
+    for k in np.flatnonzero(area > 4096):
+        yield int(a[k]), int(b[k]), int(rows[k]), int(cols[k])
+
+
 def _merge(threshold: float, hot: int) -> object:
     """Merges posting lists that arrive sorted by value and rep. Gives pairs
     (value null), and the postings of lists longer than ``hot`` (b null)."""
     share, most_hashed = (1 - threshold) / (1 + threshold), BITS - least_match(threshold)
 
-    def alike(words: list, n: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs (i, j), already near by their first word, stay."""
+    def alike(words: list, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j), near by their folded words, stay."""
         both = n[i] + n[j]
         differ = np.bitwise_count(words[0][i] ^ words[0][j]).astype(np.int16) + np.bitwise_count(words[1][i] ^ words[1][j])
-        ok = (differ <= share * both + 1e-6) & (n[i] <= u[j]) & (n[j] <= u[i])
+        ok = differ <= share * both + 1e-6
         if (both > LONG).any():
             differ = np.bitwise_count(words[2][i] ^ words[2][j]).astype(np.int16) + np.bitwise_count(words[3][i] ^ words[3][j])
             ok &= (both <= LONG) | (differ <= most_hashed)
         return ok
 
     def pairs(lists: dict[str, np.ndarray]) -> pa.RecordBatch:
-        order = np.lexsort((lists["n"], lists["value"]))
-        value, rep, n, u = (lists[c][order] for c in ("value", "rep", "n", "u"))
+        order = np.lexsort((-lists["u"], lists["n"], lists["value"]))
+        value, rep = lists["value"][order], lists["rep"][order]
+        n, u = (lists[c][order].astype(np.int64) for c in ("n", "u"))
         words = [lists[c][order].view(np.uint64) for c in SIGNATURE]
-        left, right, first = [rep[:0]], [rep[:0]], words[0]
-        width, group = int(n.max()) + 1, np.cumsum(np.r_[0, value[1:] != value[:-1]])
-        place = np.arange(len(value))
-        end = np.searchsorted(group * width + n, group * width + np.clip(u, 0, width - 1), "right")
-        count = np.maximum(end - place - 1, 0)
+        left, right, folded = [rep[:0]], [rep[:0]], words[0] ^ words[1]
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            ok = alike(words, n, u, i, j)
+            ok = alike(words, n, i, j)
             left.append(rep[i[ok]])
             right.append(rep[j[ok]])
 
-        some = np.flatnonzero((count > 0) & (count <= 64))
-        for lo in range(0, len(some), 16384):
-            at = some[lo : lo + 16384]
-            i = np.repeat(at, count[at])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
-            near = np.flatnonzero(np.bitwise_count(first[i] ^ first[j]) <= share * (n[i] + n[j]) + 1e-6)
-            keep(i[near], j[near])
-        many = np.flatnonzero(count > 64)
-        for lo in range(0, len(many), 32):
-            # Rows of one list that follow each other, against all they can reach.
-            for at in np.split(many[lo : lo + 32], np.flatnonzero(np.diff(group[many[lo : lo + 32]])) + 1):
-                low, high = int(at[0]) + 1, int(end[at].max())
-                most = int(share * (int(n[at[-1]]) + int(n[high - 1])) + 1e-6)
-                near = np.bitwise_count(first[at, None] ^ first[None, low:high]) <= most
-                at_row, at_col = np.divmod(np.flatnonzero(near), high - low)
-                i, j = at[at_row], at_col + low
-                inside = (j > i) & (j < end[i])
-                keep(i[inside], j[inside])
+        for a, b, rows, cols in _boxes(value, n, u):
+            if isinstance(a, np.ndarray):
+                area = rows * cols
+                local = np.arange(area.sum()) - np.repeat(np.cumsum(area) - area, area)
+                down, across = np.divmod(local, np.repeat(cols, area))
+                i, j = np.repeat(a, area) + down, np.repeat(b, area) + across
+                near = np.flatnonzero((i < j) & (np.bitwise_count(folded[i] ^ folded[j]) <= share * (n[i] + n[j]) + 1e-6))
+                keep(i[near], j[near])
+                continue
+            most, step = int(share * (n[a] + n[b]) + 1e-6), max(1, TILE // cols)
+            for lo in range(a, a + rows, step):
+                near = np.bitwise_count(folded[lo : min(lo + step, a + rows), None] ^ folded[b : b + cols]) <= most
+                i, j = np.divmod(_set_places(near.ravel()), cols)
+                i, j = i + lo, j + b
+                if a == b:
+                    i, j = i[i < j], j[i < j]
+                keep(i, j)
         found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
         return table(None, found[0], found[1], {})
 
@@ -200,9 +229,17 @@ def _merge(threshold: float, hot: int) -> object:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("value", "rep", *SIGNATURE, "n", "u")
-        rest, hot_value = {c: np.zeros(0, dtype=np.int64) for c in names}, None
-        for batch in batches:
-            rest = {c: np.concatenate([rest[c], batch.column(c).to_numpy()]) for c in names}
+        rest, more, hot_value = {c: np.zeros(0, dtype=np.int64) for c in names}, [], None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                more.append({c: batch.column(c).to_numpy() for c in names})
+                held = len(rest["value"]) + sum(len(m["value"]) for m in more)
+                if held <= hot and more[-1]["value"][-1] == (rest if len(rest["value"]) else more[0])["value"][0]:
+                    continue  # one list goes on
+            if more:
+                rest, more = {c: np.concatenate([rest[c], *[m[c] for m in more]]) for c in names}, []
             if not len(rest["value"]):
                 continue
             fresh = np.r_[True, (rest["value"][1:] != rest["value"][:-1]) | (rest["rep"][1:] != rest["rep"][:-1])]
@@ -229,26 +266,21 @@ def _merge(threshold: float, hot: int) -> object:
     return merge
 
 
-def _blocks(long_lists: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs within long lists: each list is cut into blocks of about ``block``
-    rows by a hash of the rep; each row goes to the cells (its block, any) and
-    (any, its block) of the upper triangle, and a cell is one join key."""
+def _posted(postings: DataFrame, tasks: int, threshold: float, hot: float) -> DataFrame:
+    """Posting lists merged: each list in one task, in order of its value."""
+    return postings.repartition(tasks, "value").sortWithinPartitions("value", "rep").mapInArrow(_merge(threshold, hot), MERGED)
+
+
+def _blocks(long_lists: DataFrame, threshold: float, block: int, tasks: int) -> DataFrame:
+    """Pairs within long lists: each list is cut into blocks of about ``block`` rows by
+    a hash of the rep; any two blocks of a list make a list of their own, which is
+    merged like the others."""
     lists = long_lists.select("value", F.col("a").alias("rep"), *SIGNATURE, "n", "u").distinct()
-    sizes = lists.groupBy("value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = lists.groupBy("value").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
     own = lists.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    cells = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumns({"lo": F.least("own", "i"), "hi": F.greatest("own", "i")})
-    left = cells.select("value", "lo", "hi", "own", F.col("rep").alias("a"), *SIGNATURE, "n", "u")
-    right = cells.select("value", "lo", "hi", F.col("own").alias("own2"), F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in SIGNATURE], F.col("n").alias("m"), F.col("u").alias("v"))
-    differ = lambda *names: sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names)
-    both, share = F.col("n") + F.col("m"), (1 - threshold) / (1 + threshold)
-    near = (differ("s1", "s2") <= share * both + 1e-6) & ((both <= LONG) | (differ("s3", "s4") <= BITS - least_match(threshold)))
-    apart = (F.col("own") != F.col("own2")) | (F.col("lo") == F.col("hi"))
-    return (
-        left.join(right, ["value", "lo", "hi"])
-        .where(apart & (F.col("a") < F.col("b")) & (F.col("n") <= F.col("v")) & (F.col("m") <= F.col("u")) & near)
-        .select("a", "b")
-    )
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    cells = cells.withColumn("value", F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")))
+    return _posted(cells.select("value", "rep", *SIGNATURE, "n", "u"), tasks, threshold, math.inf).select("a", "b")
 
 
 def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +293,7 @@ def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, sets.join(copies, "key", "left_anti")
 
 
-def similar_classes(sets: DataFrame, threshold: float, skip: int = 32, skip_tokens: int = 1_000_000, hot: int = 2000) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float, skip: int = 32, skip_tokens: int = 1_000_000, hot: int = 50_000) -> DataFrame:
     """(a, b, similarity) of ``sets(key, tokens)``, for a < b at or above the
     threshold, written once."""
     spark = sets.sparkSession
@@ -277,14 +309,11 @@ def similar_classes(sets: DataFrame, threshold: float, skip: int = 32, skip_toke
     posts = sets.select("key", "tokens").mapInPandas(_post(skipped, threshold), POSTING)
     tokens = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens * (1 - threshold) / PER_TASK))
-    merged = written(
-        posts.repartition(tasks, "value").sortWithinPartitions("value", "rep")
-        .mapInArrow(_merge(threshold, TOGETHER * hot), MERGED)
-    )
+    merged = written(_posted(posts, tasks, threshold, TOGETHER * hot))
     met = merged.where(F.col("b").isNotNull()).select("a", "b")
     long_lists = merged.where(F.col("b").isNull())
     if not long_lists.isEmpty():
-        met = met.unionAll(_blocks(long_lists, threshold, hot))
+        met = met.unionAll(_blocks(long_lists, threshold, TOGETHER * hot // 2, tasks))
     met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = sets.select("key", "tokens").join(ids, "key", "left_semi").dropDuplicates(["key"])

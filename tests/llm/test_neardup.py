@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ontoloom.llm import neardup
@@ -90,3 +91,30 @@ def test_blocks_of_long_lists_give_the_same_pairs(spark):
     _, sets = neardup.representatives(neardup.token_sets(table(spark, rows), "claim_key", TEXT()))
     got = [tuple(r)[:2] for r in neardup.similar_classes(sets, 0.7, hot=5).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7)
+
+
+def test_boxes_hold_just_the_pairs_within_reach():
+    rng = np.random.default_rng(3)
+    value, n = rng.integers(0, 4, 900), rng.integers(20, 40, 900)
+    u = n + rng.integers(-9, 12, 900)
+    order = np.lexsort((-u, n, value))
+    value, n, u = value[order], n[order], u[order]
+    got, compared = [], 0
+    for a, b, rows, cols in neardup._boxes(value, n, u):
+        for i, j, r, c in zip(*map(np.atleast_1d, (a, b, rows, cols))):
+            compared += r * c
+            got += [(x, y) for x in range(i, i + r) for y in range(j, j + c) if x < y]
+    want = {(i, j) for i in range(900) for j in range(i + 1, 900) if value[i] == value[j] and n[i] <= u[j] and n[j] <= u[i]}
+    assert len(got) == len(set(got)) and set(got) == want and compared < 1.5 * len(want)
+
+
+def test_long_lists_are_not_joined_row_by_row(spark, monkeypatch):
+    """Blocks of a long list are merged by size and reach, as short lists are."""
+    monkeypatch.setattr(neardup, "TILE", 64, raising=False)
+    rows = frequent(11, 150)
+    _, sets = neardup.representatives(neardup.token_sets(table(spark, rows), "claim_key", TEXT()))
+    joins = []
+    blocks = neardup._blocks
+    monkeypatch.setattr(neardup, "_blocks", lambda *args: joins.append(blocks(*args)) or joins[-1])
+    assert {tuple(r)[:2] for r in neardup.similar_classes(sets, 0.7, hot=3).collect()} == brute(rows, 0.7)
+    assert joins and "bit_count" not in joins[0]._jdf.queryExecution().optimizedPlan().toString()
