@@ -10,20 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PATHWAYS, VAGUE, clause_kind, content_tokens, rule_root
-from ..session import written
+from ..session import settled
 
 CAPACITIES = ("power", "permission")
 COVERAGE = 0.5
 #: All kinds of pathways, in order, and those that a capacity's own tuple is no route by.
 KINDS = sorted([*dict(PATHWAYS), "deadline", "recipient"])
 OWN_ONLY = ("recipient", "order")
-#: Tuples of a corpus that meet its needs in one task.
-BLOCK = 8192
+#: Tuples of a corpus that meet its needs in one task, and pairs compared at once.
+BLOCK, TILE = 65536, 1 << 22
 
 
 def tuples(norm_tuples: DataFrame) -> DataFrame:
     """Each tuple once, with its content tokens, rule root and pathway kinds."""
-    rows = norm_tuples.where("tuple_id is not null").dropDuplicates(["tuple_id"])
+    return _features(norm_tuples.where("tuple_id is not null").dropDuplicates(["tuple_id"]))
+
+
+def _features(rows: DataFrame) -> DataFrame:
     conditions = F.coalesce(F.array_join("conditions", " "), F.lit(""))
     text = F.concat_ws(" ", F.coalesce("action", F.lit("")), F.coalesce("source_quote", F.lit("")), conditions)
     low, party = F.lower(text), F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce("counterparty", F.lit("")))), r"^(the|a|an)\s+", ""))
@@ -39,6 +42,24 @@ def tuples(norm_tuples: DataFrame) -> DataFrame:
     )
 
 
+def _has(i: int) -> Column:
+    """Whether packed kinds have that of place ``i``."""
+    return F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0
+
+
+def _packed(norm_tuples: DataFrame) -> DataFrame:
+    """Each tuple once, as narrow as capacities need it: kinds are bits, words one text
+    (none holds a blank), and there is no word that nothing compares."""
+    rows = _features(norm_tuples.where("tuple_id is not null"))
+    bits = sum((F.when(F.array_contains("kinds", k), 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+    useful = F.size("kinds") > 0
+    return rows.select(
+        "tuple_id", "corpus_id", F.col("modality").isin(*CAPACITIES).alias("capacity"), "external_reference", "root", "bearer_role", bits.cast("int").alias("kinds"),
+        F.when(F.col("modality").isin(*CAPACITIES), F.array_join("need", " ")).alias("need"),
+        F.when(useful, F.array_join("tokens", " ")).alias("tokens"), F.when(useful & (F.col("root") != ""), F.array_join("party", " ")).alias("party"),
+    ).dropDuplicates(["tuple_id"])
+
+
 def _summed() -> Column:
     return F.array(*[F.sum(F.col("n")[i]) for i in range(len(KINDS))])
 
@@ -47,8 +68,9 @@ def _served(needs: pa.Table, useful: pa.Table) -> pa.Table:
     """(corpus_id, need, n): for each need of a corpus the number of the block's tuples
     that have half of its words, by kind."""
     needs, useful = needs.combine_chunks(), useful.combine_chunks()
-    words, tokens = (t.column(c).combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.string())) for t, c in ((needs, "words"), (useful, "tokens")))
-    kinds = np.array([[k in row for k in KINDS] for row in useful.column("kinds").to_pylist()], dtype=np.float32).reshape(-1, len(KINDS))
+    split = lambda column: pc.split_pattern(column.combine_chunks() if len(column) else pa.array([], pa.string()), " ")
+    words, tokens = split(needs.column("need")), split(useful.column("tokens"))
+    kinds = (useful.column("kinds").to_numpy()[:, None] >> np.arange(len(KINDS)) & 1).astype(np.float32)
     size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     start, flat, held = np.cumsum(size) - size, words.flatten().dictionary_encode(), tokens.flatten()
     code, place = flat.indices.to_numpy(), pc.index_in(held, value_set=flat.dictionary)
@@ -64,10 +86,12 @@ def _served(needs: pa.Table, useful: pa.Table) -> pa.Table:
         has = np.zeros((len(own) + 1, len(tokens)), dtype=np.uint16 if size[part].max() > 255 else np.uint8)
         at = near[place]
         has[at[at >= 0], row[at >= 0]] = 1
-        shared = np.zeros((len(part), len(tokens)), dtype=has.dtype)
-        for j in range(int(size[part].max())):
-            shared += has[np.where(j < size[part], near[code[np.minimum(start[part] + j, len(code) - 1)]], len(own))]
-        found[part] = (shared >= np.ceil(size[part] * COVERAGE)[:, None]).astype(np.float32) @ kinds
+        step = max(1, TILE // max(1, len(tokens)))
+        for few in np.split(part, range(step, len(part), step)):
+            shared = np.zeros((len(few), len(tokens)), dtype=has.dtype)
+            for j in range(int(size[few].max())):
+                shared += has[np.where(j < size[few], near[code[np.minimum(start[few] + j, len(code) - 1)]], len(own))]
+            found[few] = (shared >= np.ceil(size[few] * COVERAGE)[:, None]).astype(np.float32) @ kinds
     some = np.flatnonzero(found.any(axis=1))
     return pa.table({"corpus_id": needs.column("corpus_id").take(some), "need": needs.column("need").take(some), "n": pa.array(list(found[some]), pa.list_(pa.int64()))})
 
@@ -77,8 +101,8 @@ def _by_wording(inner: DataFrame, useful: DataFrame) -> DataFrame:
     counted by kind. The tuples of a corpus are cut into blocks, and a block meets the
     needs of its corpus in one task, so that no pair of them is ever a row."""
     blocks = useful.groupBy("corpus_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    needs = inner.where(F.size("need") > 0).select("corpus_id", F.array_join("need", " ").alias("need"), F.col("need").alias("words")).distinct()
-    needs = needs.join(blocks, "corpus_id").select("corpus_id", "need", "words", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    needs = inner.where("need <> ''").select("corpus_id", "need").distinct()
+    needs = needs.join(blocks, "corpus_id").select("corpus_id", "need", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     held = useful.join(blocks, "corpus_id").select("corpus_id", "tokens", "kinds", F.pmod(F.xxhash64("tuple_id"), "blocks").cast("int").alias("block"))
     met = needs.groupBy("corpus_id", "block").cogroup(held.toDF("of", "tokens", "kinds", "at").groupBy("of", "at")).applyInArrow(_served, "corpus_id STRING, need STRING, n ARRAY<BIGINT>")
     return met.groupBy("corpus_id", "need").agg(_summed().alias("n"))
@@ -88,7 +112,8 @@ def _by_place(inner: DataFrame, useful: DataFrame) -> DataFrame:
     """(corpus_id, root, bearer_role, n): the tuples under the same rule with the same
     actor, or addressed to it, counted by kind. Which parties an actor is one of is
     found once for each pair of names."""
-    at = useful.where("root <> ''").groupBy("corpus_id", "root", "bearer_role", "party").agg(F.array(*[F.count_if(F.array_contains("kinds", k)) for k in KINDS]).alias("n"))
+    at = useful.where("root <> ''").groupBy("corpus_id", "root", "bearer_role", "party").agg(F.array(*[F.count_if(_has(i)) for i in range(len(KINDS))]).alias("n"))
+    at = at.withColumn("party", F.split("party", " "))
     actors = inner.where("root <> '' and bearer_role <> ''").select("bearer_role").distinct().withColumn("actor", content_tokens(F.col("bearer_role")))
     parties = at.select("party").distinct().select("party", F.explode("party").alias("w"))
     named = actors.withColumn("w", F.try_element_at("actor", F.lit(1))).join(parties, "w").where(F.size(F.array_except("actor", "party")) == 0).select(F.col("bearer_role").alias("holder"), "party")
@@ -106,16 +131,16 @@ def capacities(norm_tuples: DataFrame) -> DataFrame:
     own, whose recipient and order are no route. Equal needs are one need, and all
     that is kept of the tuples that serve one is their number by kind: as a capacity
     always refers to itself, two of a kind tell that another one does."""
-    rows = written(tuples(norm_tuples))
-    caps = rows.where(F.col("modality").isin(*CAPACITIES))
+    rows = settled(lambda: _packed(norm_tuples))
+    caps = rows.where("capacity")
     inner = caps.where(~F.coalesce("external_reference", F.lit(False)))
-    useful = rows.where(F.size("kinds") > 0)
-    wording, place = _by_wording(inner, useful), _by_place(inner, useful)
-    keyed = caps.select("tuple_id", "corpus_id", "external_reference", "root", "bearer_role", F.array_join("need", " ").alias("need"), "kinds")
+    useful = rows.where("kinds <> 0")
+    wording, place = settled(lambda: _by_wording(inner, useful)), _by_place(inner, useful)
+    keyed = caps.select("tuple_id", "corpus_id", "external_reference", "root", "bearer_role", "need", "kinds")
     keyed = keyed.join(wording.withColumnRenamed("n", "by_words"), ["corpus_id", "need"], "left").join(place.withColumnRenamed("n", "by_place"), ["corpus_id", "root", "bearer_role"], "left")
 
     def served(i: int, kind: str) -> Column:
-        own = F.array_contains("kinds", kind)
+        own = _has(i)
         least = F.when(own, 2).otherwise(1) if kind in OWN_ONLY else F.lit(1)
         other = F.coalesce(F.col("by_words")[i] >= least, F.lit(False)) | F.coalesce(F.col("by_place")[i] >= least, F.lit(False))
         return F.when(other if kind in OWN_ONLY else other | own, kind)

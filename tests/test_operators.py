@@ -257,3 +257,18 @@ def test_metrics_are_sums_over_one_row_a_subject(spark, tmp_path):
     assert got["redundant_parents"] == 1 and got["multi_parents"] == 1 and got["max_fan_out"] >= 1 and got["classes"] == 34
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 24, plan.count("Join ")
+
+
+def test_capacities_write_narrow_tables(spark, monkeypatch):
+    """What capacities write and shuffle holds no text and no words that nothing compares,
+    and what was written on the way is deleted."""
+    schema = "tuple_id STRING, corpus_id STRING, source_locator STRING, bearer_role STRING, modality STRING, action STRING, conditions ARRAY<STRING>, deadline STRING, counterparty STRING, source_quote STRING, external_reference BOOLEAN"
+    row = lambda i, modality, deadline: (i, "a", "Rule 1", "clerk", modality, "seal the record", [], deadline, None, "kept", False)
+    table = spark.createDataFrame([row("t1", "power", None), row("t2", "duty", "3 days"), row("t3", "duty", None)], schema)
+    packed = {r.tuple_id: r for r in norms._packed(table.unionAll(table)).collect()}
+    assert len(packed) == 3 and not {"action", "source_quote"} & set(packed["t1"].asDict())
+    assert [(r.need is None, r.tokens is None) for _, r in sorted(packed.items())] == [(False, True), (True, False), (True, True)]
+    made, settled = [], norms.settled
+    monkeypatch.setattr(norms, "settled", lambda build: made.append(settled(build)) or made[-1])
+    assert {(r.tuple_id, r.kinds) for r in norms.capacities(table).collect()} == {("t1", "deadline")}
+    assert len(made) == 2 and not [n for n, kind in made[0].dtypes if kind.startswith("array")]
