@@ -6,11 +6,10 @@ no worker needs a whole one:
 1. *Ranges with halos.* A text is cut into ranges of ``RANGE`` characters, a file
    into byte ranges; each is read with a halo on both sides, and a worker finds
    the boundaries in its range: where a paragraph, a line, a sentence or a word
-   ends, and how long the runs between them are.
+   ends.
 2. *Stitching.* Lengths of ranges in characters become offsets by prefix sums over
-   one number a range. Runs that cross ranges are put together from what each
-   range leaves open at its ends. Boundary tables are folded by segments of
-   ``SEGMENT`` characters, never by whole texts.
+   one number a range. Boundary tables are folded by segments of ``SEGMENT``
+   characters, never by whole texts.
 3. *Cuts.* The greedy cut follows a text from its begin, so it would need all of
    it in one place. At each multiple of the segment's length it therefore has an
    anchor: the best boundary of the last ``limit`` characters before it. A piece
@@ -20,7 +19,8 @@ no worker needs a whole one:
    else the last of any rank), or at the limit where there is none, and the next
    one begins ``overlap`` characters before that end.
 4. *Emission by offset.* Pieces meet the ranges they touch by (text, range), take
-   their part of each, and are put together.
+   their part of each, and are put together. So do the surroundings of forced cuts,
+   from which it is told whether a run is longer than the limit (``oversized``).
 
 Defined cases: all lengths are in code points; null and empty texts have no
 piece; a text within its limit is one piece; an overlap of the limit or more counts
@@ -43,7 +43,7 @@ from ..session import shared_folder, written
 RANGE, HALO, SEGMENT = 4096, 64, 1 << 20
 BREAK = re.compile(r"[ \t\r\n]+")
 SENTENCE = re.compile(r"[.!?。！？…;:][\"'»”’)\]]*$")
-FOUND = "item STRING, low BIGINT, start BIGINT, chars BIGINT, at ARRAY<BIGINT>, rank ARRAY<TINYINT>, first_break BIGINT, last_break BIGINT, inner BIGINT"
+FOUND = "item STRING, low BIGINT, start BIGINT, chars BIGINT, at ARRAY<BIGINT>, rank ARRAY<TINYINT>"
 
 
 def boundaries(text: str, low: int, high: int) -> tuple[list[int], list[int]]:
@@ -111,16 +111,6 @@ def anchor(at: np.ndarray, rank: np.ndarray, place: int, limit: int) -> tuple[in
 
 # ---------------------------------------------------------------- stitching
 
-def longest_runs(found: DataFrame) -> DataFrame:
-    """(item, longest): the longest run without a break of each item. The window runs
-    over the ranges of an item, which are three numbers each."""
-    order = Window.partitionBy("item").orderBy("start")
-    before = F.coalesce(F.last("last_break", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = found.select("item", "start", "chars", (F.col("start") + F.col("first_break")).alias("first_break"), (F.col("start") + F.col("last_break")).alias("last_break"), "inner")
-    rows = rows.select("item", F.greatest("inner", F.coalesce(F.col("first_break") - before, F.lit(0))).alias("run"), "last_break", (F.col("start") + F.col("chars")).alias("stop"))
-    return rows.groupBy("item").agg(F.greatest(F.max("run"), F.max("stop") - F.coalesce(F.max("last_break"), F.lit(0))).alias("longest"))
-
-
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The boundaries of each range by segment, with those before a segment that its
     first anchor may be one of."""
@@ -187,20 +177,15 @@ def limited(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     ).where(F.col("chunk_chars") > 0)
 
 
-def _find(size: int, cut: bool):
-    """The boundaries, if ``cut``, and the open ends of each range of ``size`` characters."""
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for item, start, ahead, part, chars in zip(batch["item"], batch["start"], batch["ahead"], batch["part"], batch["chars"]):
-                low, high = int(ahead), int(ahead) + int(chars)
-                at, rank = boundaries(part, low, high) if cut else ([], [])
-                out.append((item, start, start, chars, [a - low for a in at], rank, *open_ends(part, low, high)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
-            yield frame.astype({"first_break": "Int64", "last_break": "Int64"})
-
-    return find
+def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The boundaries of each range."""
+    for batch in batches:
+        out = []
+        for item, start, ahead, part, chars in zip(batch["item"], batch["start"], batch["ahead"], batch["part"], batch["chars"]):
+            low, high = int(ahead), int(ahead) + int(chars)
+            at, rank = boundaries(part, low, high)
+            out.append((item, start, start, chars, [a - low for a in at], rank))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def ranges_of(texts: DataFrame) -> DataFrame:
@@ -211,15 +196,33 @@ def ranges_of(texts: DataFrame) -> DataFrame:
     return rows.select("item", "start", F.least(F.lit(RANGE), F.col("length") - F.col("start")).alias("chars"), ahead.alias("ahead"), part.alias("part"))
 
 
+def cut_out(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``spans(item, begin, end, ...)`` with ``start`` and ``text``: the part that each
+    range a span touches has of it, by offset."""
+    wanted = spans.withColumn("start", F.explode(F.transform(F.sequence(F.floor(F.col("begin") / RANGE), F.floor((F.col("end") - 1) / RANGE)), lambda k: k * RANGE)))
+    bare = ranges.select("item", "start", F.substring("part", (F.col("ahead") + 1).cast("int"), F.lit(RANGE)).alias("part"))
+    low, high = F.greatest(F.col("begin") - F.col("start"), F.lit(0)), F.least(F.col("end") - F.col("start"), F.lit(RANGE))
+    return wanted.join(bare, ["item", "start"]).withColumn("text", F.substring("part", (low + 1).cast("int"), (high - low).cast("int"))).drop("part")
+
+
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """(chunk_id, cut) of the chunks over their limit, from the stitched runs of
-    their ranges."""
-    over = limited(chunks, limits).where(F.col("length") > F.col("chunk_chars"))
-    # The limit goes with the item's name, so that the texts are not read again for it.
-    named = over.withColumn("item", F.concat_ws("\x00", F.col("chunk_chars").cast("string"), "item"))
-    runs = longest_runs(ranges_of(named).mapInPandas(_find(RANGE, False), FOUND))
-    limit, name = F.substring_index("item", "\x00", 1).cast("bigint"), F.expr("substring(item, instr(item, '\x00') + 1)")
-    return runs.select(name.alias("chunk_id"), F.when(F.col("longest") > limit, "forced").otherwise("natural").alias("cut"))
+    """(chunk_id, cut) of the chunks over their limit, from their pieces.
+
+    A run longer than the limit has a forced cut in it, as no piece reaches over it.
+    So the kind hangs on the surroundings of the forced cuts, a limit on either side,
+    which are emitted by offset. The first and the last forced cut in each ``limit``
+    characters do: a run that has one between them has one of them, too."""
+    texts = written(limited(chunks, limits).where(F.col("length") > F.col("chunk_chars")).drop("section"))
+    items, ranges = texts.drop("text"), ranges_of(texts)
+    pieces = piece_table(ranges.mapInPandas(_find, FOUND), items)
+    forced = pieces.where("forced").join(items.select("item", "length", "chunk_chars"), "item")
+    ends = forced.groupBy("item", "length", "chunk_chars", F.floor(F.col("end") / F.col("chunk_chars")).alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("last"))
+    places = ends.withColumn("place", F.explode(F.array_distinct(F.array("first", "last"))))
+    around = places.select("item", "chunk_chars", "place", F.greatest(F.col("place") - F.col("chunk_chars"), F.lit(0)).alias("begin"), F.least(F.col("place") + F.col("chunk_chars"), "length").alias("end"))
+    seen = _joined(cut_out(around, ranges), "item", "chunk_chars", "place")
+    long_run = F.exists(F.split("text", "[ \\t\\r\\n]"), lambda run: F.length(run) > F.col("chunk_chars"))
+    kinds = seen.groupBy("item").agg(F.bool_or(long_run).alias("long"))
+    return items.join(kinds, "item", "left").select(F.col("item").alias("chunk_id"), F.when(F.coalesce("long", F.lit(False)), "forced").otherwise("natural").alias("cut"))
 
 
 def split(chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -229,14 +232,11 @@ def split(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     texts = written(limited(chunks, limits))
     items = texts.drop("text")
     ranges = ranges_of(texts)
-    pieces = piece_table(ranges.mapInPandas(_find(RANGE, True), FOUND), items)
+    pieces = piece_table(ranges.mapInPandas(_find, FOUND), items)
     counts = pieces.groupBy("item").agg(F.count("*").alias("n")).join(items.select("item", "section"), "item")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("section").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = pieces.join(counts.select("item", "section", before.alias("first")), "item")
-    wanted = placed.withColumn("start", F.explode(F.transform(F.sequence(F.floor(F.col("begin") / RANGE), F.floor((F.col("end") - 1) / RANGE)), lambda k: k * RANGE)))
-    bare = ranges.select("item", "start", F.substring("part", (F.col("ahead") + 1).cast("int"), F.lit(RANGE)).alias("part"))
-    low, high = F.greatest(F.col("begin") - F.col("start"), F.lit(0)), F.least(F.col("end") - F.col("start"), F.lit(RANGE))
-    parts = wanted.join(bare, ["item", "start"]).withColumn("text", F.substring("part", (low + 1).cast("int"), (high - low).cast("int")))
+    parts = cut_out(placed, ranges)
     out = _joined(parts, "item", "section", "first", "piece", "begin", "end", "forced")
     return out.select("section", (F.col("first") + F.col("piece")).cast("int").alias("chunk_index"), F.col("item").alias("chunk_id"), "piece", F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "forced", "text")
 
@@ -281,8 +281,7 @@ def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: int, o
                 head, body, tail = _read(item, low, high)
                 text, a, b = head + body + tail, len(head), len(head) + len(body)
                 at, rank = boundaries(text, a, b)
-                frame = pd.DataFrame([(item, low, 0, len(body), [x - a for x in at], rank, *open_ends(text, a, b))], columns=[c.split()[0] for c in FOUND.split(", ")])
-                yield frame.astype({"first_break": "Int64", "last_break": "Int64"})
+                yield pd.DataFrame([(item, low, 0, len(body), [x - a for x in at], rank)], columns=[c.split()[0] for c in FOUND.split(", ")])
 
     found = written(ranges.mapInPandas(find, FOUND)).drop("start")
     sizes = found.select("item", "low", "chars")

@@ -111,3 +111,20 @@ def test_corpus(spark):
     texts = [("one line. " * 50,), (None,), ("",), ("zwei 🏛 " * 90,)]
     out = split.split_corpus(spark.createDataFrame(texts, "text STRING").coalesce(1), 100, 0, 64).collect()
     assert "".join(p.text for p in sorted(out, key=lambda p: p.piece)) == "".join(f"{t}\n" for t, in texts if t is not None) and all(len(p.text) <= 100 for p in out)
+
+
+def test_cut_kinds_come_from_the_pieces(spark, monkeypatch):
+    """Without forced pieces there is no forced kind; a forced cut in a run within the limit
+    (by the overlap) or in blanks is none either."""
+    limits = spark.createDataFrame([("*", 20, 12)], "subpart STRING, chunk_chars INT, overlap INT")
+    rows = [("long", "ab " * 9 + "x" * 21 + " cd" * 9), ("solid", "x" * 300), ("overlap", ("y" * 19 + " ") * 8), ("blank", " " * 90), ("words", "ab cd " * 20), ("last", "ab " * 30 + "z" * 21)]
+    chunks = spark.createDataFrame([(k, "s", "A", t) for k, t in rows], "chunk_id STRING, section STRING, subpart STRING, text STRING")
+    kinds = lambda: {r.chunk_id: r.cut for r in split.oversized(chunks, limits).collect()}
+    want = {k: "forced" if k in ("long", "solid", "last") else "natural" for k, _ in rows}
+    assert kinds() == want
+    monkeypatch.setattr(split, "RANGE", 16)
+    monkeypatch.setattr(split, "SEGMENT", 40)
+    assert kinds() == want
+    table = split.piece_table
+    monkeypatch.setattr(split, "piece_table", lambda found, items: table(found, items).withColumn("forced", split.F.lit(False)))
+    assert set(kinds().values()) == {"natural"}
