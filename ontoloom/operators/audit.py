@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import settled, written
 from . import graph
 from .detectors import finding
 from .triples import ALL, BUILTIN, CLASS, COMPLEMENT, DISJOINT, EQUIVALENT, LABEL, ON, RESTRICTION, SOME, SUBCLASS, TYPE, classes, labels, restrictions, subclass_edges
@@ -81,7 +81,8 @@ def residual(triples: DataFrame, lists: DataFrame) -> DataFrame:
 def metrics(triples: DataFrame) -> DataFrame:
     """AUD, AGG-1, 2: (metric, value): the census and audit of a triple set, rates in
     percent of its classes."""
-    triples = written(triples)
+    said = triples
+    triples = settled(lambda: said)
     is_, held = F.col("p") == TYPE, restrictions(triples)
     some = lambda rows: F.coalesce(F.bool_or(rows), F.lit(False))
     has = lambda p: some((F.col("p") == p) & (F.col("o") != ""))
@@ -94,8 +95,10 @@ def metrics(triples: DataFrame) -> DataFrame:
     edges = written(subclass_edges(triples).distinct())
     count = lambda df, name: df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
     intended = triples.where(~F.col("p").rlike(BUILTIN) & (F.col("o_kind") == "iri")).select("s", "o").join(named.select(F.col("class").alias("s")), "s", "left_semi").join(named.select(F.col("class").alias("o")), "o", "left_semi")
-    reach = graph.closure(edges)
-    known = named.where(~F.col("class").startswith("obo:")).join(reach.where(F.col("ancestor").startswith("obo:")).select(F.col("node").alias("class")).distinct(), "class", "left_anti")
+    # Where classes are under each other, all reach all: only what is between such groups is closed.
+    rows = settled(lambda: graph.condensed(edges))
+    reach = settled(lambda: graph.condensed_reach(rows))
+    known = named.where(~F.col("class").startswith("obo:")).join(graph.condensed_under(rows, reach, "obo:").withColumnRenamed("child", "class"), "class", "left_anti")
 
     def counts(df: DataFrame, **sums: Column) -> DataFrame:
         one = df.agg(*[F.coalesce(F.sum(v.cast("bigint")), F.lit(0)).cast("double").alias(k) for k, v in sums.items()])
@@ -110,12 +113,13 @@ def metrics(triples: DataFrame) -> DataFrame:
             malformed_iris=malformed, empty_restrictions=F.when(~F.col("filled"), F.col("restrictions")),
         ),
         counts(held, restrictions=F.lit(1), upper_fillers=upper, domain_fillers=~upper), count(edges, "subclass_axioms"), count(intended, "punned_triples"),
-        count(graph.redundant_parents(edges, reach), "redundant_parents"), count(graph.multi_parents(edges), "multi_parents"), count(known, "unanchored"),
+        count(graph.condensed_redundant(rows, reach), "redundant_parents"), count(graph.multi_parents(edges), "multi_parents"), count(known, "unanchored"),
         edges.groupBy("parent").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("value")).select(F.lit("max_fan_out").alias("metric"), "value"),
     ]
-    out = parts[0]
+    values = parts[0]
     for part in parts[1:]:
-        out = out.unionAll(part)
+        values = values.unionAll(part)
+    out = settled(lambda: values)
     wide = out.groupBy().pivot("metric", ["classes", "restrictions", "punned_triples", "defined", "defined_or_deferred"]).agg(F.first("value"))
     seen = F.col("restrictions") + F.col("punned_triples")
     rates = wide.select(F.inline(F.array(

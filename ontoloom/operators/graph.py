@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, written
+from ..session import discard, settled, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -91,6 +91,113 @@ def redundant_parents(edges: DataFrame, reach: DataFrame) -> DataFrame:
     return direct.join(over, ["child", "parent"], "left_semi")
 
 
+def condensed(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(child, parent, code, lower, upper): ``edges(child, parent)`` with a number of the
+    child and the numbers of the strongly connected components of both ends. Null ends
+    are no edges.
+
+    Within a component all reach all, so its closure grows with the square of it and is
+    never built. Each round gives the nodes a new order and finds the least node that
+    each reaches, and the least that reaches it. Where both are the same, it is in their
+    component; an edge between nodes that differ in either is in none and is dropped.
+    Ends that lie on no cycle are dropped before."""
+    clean = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
+    names = clean.select(F.col("child").alias("name")).unionAll(clean.select("parent")).distinct()
+    codes = written(names.select("name", F.monotonically_increasing_id().alias("code")))
+    coded = written(clean.join(codes.toDF("child", "lower"), "child").join(codes.toDF("parent", "upper"), "parent").select("child", "parent", "lower", "upper"))
+    live, found = _on_cycles(written(coded.where("lower <> upper").select("lower", "upper"))), []
+    for turn in range(max_rounds):
+        if live.isEmpty():
+            break
+        key = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731  # of one number, it is one to one
+        arc = lambda way, a, b: live.select(F.lit(way).alias("way"), key(a).alias("node"), key(b).alias("to"))  # noqa: B023, E731
+        nodes = live.select(F.col("lower").alias("code")).unionAll(live.select("upper")).distinct().withColumn("node", key("code"))
+        # The driver keeps no plan of the rounds.
+        least = settled(lambda: _least_reached(arc(0, "lower", "upper").unionAll(arc(1, "upper", "lower"))))  # noqa: B023
+        both = least.groupBy("node").agg(F.min(F.when(F.col("way") == 0, F.col("low"))).alias("low0"), F.min(F.when(F.col("way") == 1, F.col("low"))).alias("low1"))
+        seen = written(nodes.join(both, "node").select("code", "low0", "low1"))
+        hit = seen.where("low0 = low1")
+        found.append(written(hit.join(hit.groupBy("low0").agg(F.min("code").alias("component")), "low0").select("code", "component")))
+        rest = seen.where("low0 <> low1")
+        left = live.join(rest.toDF("lower", "low0", "low1"), "lower").join(rest.toDF("upper", "low0", "low1"), ["upper", "low0", "low1"]).select("lower", "upper")
+        after = _on_cycles(written(left))
+        discard(live, least, seen)
+        live = after
+    else:
+        raise RuntimeError(f"condensed: not settled after {max_rounds} rounds")
+    out = coded.withColumn("code", F.col("lower"))
+    for end in ("lower", "upper"):
+        if found:
+            out = out.join(_all(found).toDF(end, "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    out = written(out.select("child", "parent", "code", "lower", "upper"))
+    discard(codes, coded, live, *found)
+    return out
+
+
+def _on_cycles(live: DataFrame) -> DataFrame:
+    """``live(lower, upper)`` without edges from nodes that none leads to or to nodes that
+    lead to none, as long as that takes half of the edges; what is left is found by order."""
+    size = live.count()
+    while size:
+        kept = written(live.join(live.select(F.col("upper").alias("lower")).distinct(), "lower", "left_semi").join(live.select(F.col("lower").alias("upper")).distinct(), "upper", "left_semi"))
+        discard(live)
+        live, before, size = kept, size, kept.count()
+        if 2 * size > before:
+            break
+    return live
+
+
+def _least_reached(arcs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(way, node, low): the least node that each node of ``arcs(way, node, to)`` reaches, or
+    itself. What the least so far has reached is taken over at once, so that long
+    chains take a logarithm of rounds where the order is that of a hash."""
+    arcs = written(arcs)
+    low = written(arcs.select("way", "node").unionAll(arcs.select("way", F.col("to").alias("node"))).distinct().select("way", "node", F.col("node").alias("low"), F.lit(True).alias("moved")))
+    for _ in range(max_rounds):
+        near = arcs.join(low.select("way", F.col("node").alias("to"), F.col("low").alias("near")), ["way", "to"]).groupBy("way", "node").agg(F.min("near").alias("near"))
+        far = low.select("way", F.col("node").alias("low"), F.col("low").alias("far"))
+        least = F.least("low", "near", "far")
+        after = written(low.select("way", "node", "low").join(near, ["way", "node"], "left").join(far, ["way", "low"]).select("way", "node", least.alias("low"), (least < F.col("low")).alias("moved")))
+        discard(low)
+        low = after
+        if low.where("moved").isEmpty():
+            discard(arcs)
+            return low
+    raise RuntimeError(f"_least_reached: not settled after {max_rounds} rounds")
+
+
+def condensed_reach(rows: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): the closure over the components of ``rows``, as ``condensed``
+    gives them, of those that are above something; the others are nobody's ancestor."""
+    above = rows.select(F.col("upper").alias("child")).distinct()
+    between = rows.where("lower <> upper").select(F.col("lower").alias("child"), F.col("upper").alias("parent")).distinct()
+    return closure(between.join(above, "child", "left_semi"))
+
+
+def condensed_redundant(rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """(child, parent): HIER-10 as ``redundant_parents``, of ``condensed`` rows and their
+    ``condensed_reach``. A parent is implied by another one of its component, by one in
+    the child's own, or by one whose component is below its."""
+    groups = rows.groupBy("code", "lower", "upper").agg(F.count("*").alias("n"))
+    kinds = groups.groupBy("code").agg(F.bool_or(F.col("lower") == F.col("upper")).alias("own"), F.count("*").alias("groups"))
+    marked = written(groups.join(kinds, "code").withColumn("sure", (F.col("n") > 1) | (F.col("own") & (F.col("lower") != F.col("upper")))))
+    # In a child's own component no other one leads back, so only what is outside is open.
+    asked = marked.where("not own and groups > 1")
+    wanted = asked.where("not sure").select("code", "upper")
+    above = reach.select(F.col("node").alias("via"), F.col("ancestor").alias("upper")).join(wanted.select("upper").distinct(), "upper", "left_semi")
+    over = asked.select("code", F.col("upper").alias("via")).join(above, "via").select("code", "upper")
+    implied = marked.where("sure").select("code", "upper").unionAll(wanted.join(over, ["code", "upper"], "left_semi"))
+    return rows.join(implied, ["code", "upper"], "left_semi").select("child", "parent")
+
+
+def condensed_under(rows: DataFrame, reach: DataFrame, prefix: str) -> DataFrame:
+    """(child): the nodes with an ancestor of the prefix, of ``condensed`` rows and their
+    ``condensed_reach``."""
+    top = rows.where(F.col("parent").startswith(prefix)).select("upper").distinct()
+    below = reach.join(top.select(F.col("upper").alias("ancestor")), "ancestor", "left_semi").select(F.col("node").alias("upper"))
+    return rows.join(top.unionAll(below).distinct(), "upper", "left_semi").select("child").distinct()
+
+
 def multi_parents(edges: DataFrame) -> DataFrame:
     """(child, parents): HIER-11."""
     return edges.distinct().groupBy("child").agg(F.count("*").alias("parents")).where(F.col("parents") > 1)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text as T
-from ontoloom.operators import audit, catalog, extraction, grounding, lint, norms, rewrites, terms
+from ontoloom.operators import audit, catalog, extraction, graph, grounding, lint, norms, rewrites, terms
 from ontoloom.operators import triples as G
 from ontoloom.sources import corpus, rdf
 
@@ -259,6 +259,30 @@ def test_metrics_are_sums_over_one_row_a_subject(spark, tmp_path):
     assert plan.count("Join ") <= 24, plan.count("Join ")
 
 
+def test_metrics_close_no_cycle(spark, tmp_path, monkeypatch):
+    """Classes that are all under each other are one component: their pairs are never made."""
+    ring = CLEAN + "".join(f":R{i} rdfs:subClassOf :R{(i + 1) % 40} . :R{i} a owl:Class . " for i in range(40)) + ":R7 rdfs:subClassOf :Top . :Low rdfs:subClassOf :R3 , :R9 , :Top . :Low a owl:Class .\n"
+    closed, whole = [], graph.closure
+    monkeypatch.setattr(graph, "closure", lambda edges: closed.append((out := whole(edges)).count()) or out)
+    got = {r.metric: r.value for r in audit.metrics(read(spark, tmp_path, ring)).collect()}
+    assert got["redundant_parents"] == 4 and got["multi_parents"] == 2 and got["unanchored"] == 41  # R7's Top, and all three of Low
+    assert closed and sum(closed) < 100
+
+
+def test_condensed_as_closure(spark):
+    """Cycles within and beside each other, loops, and parents implied inside and outside."""
+    pairs = "a-b b-c c-a c-d d-e e-f f-d a-d a-e a-a x-a x-d x-b y-d y-y y-z w-z w-w obo:p-obo:q obo:q-obo:p e-obo:p v-obo:p v-obo:q u-v u-obo:q k-l l-m m-n k-n k-m k-o".split()
+    edges = spark.createDataFrame([tuple(p.split("-")) for p in pairs] + [("a", None), (None, "a"), ("a", "b")], "child STRING, parent STRING")
+    rows, full = graph.condensed(edges), graph.closure(edges)
+    reach = graph.condensed_reach(rows)
+    names = {}
+    for r in rows.collect():
+        names.setdefault(r.lower, set()).add(r.child)
+    assert sorted("".join(sorted(n)) for n in names.values() if len(n) > 1) == ["abc", "def", "obo:pobo:q"]
+    assert sorted(map(tuple, graph.condensed_redundant(rows, reach).collect())) == sorted(map(tuple, graph.redundant_parents(edges, full).collect()))
+    assert {r.child for r in graph.condensed_under(rows, reach, "obo:").collect()} == {r.node for r in full.where("ancestor like 'obo:%'").collect()}
+
+
 def test_capacities_write_narrow_tables(spark, monkeypatch):
     """What capacities write and shuffle holds no text and no words that nothing compares,
     and what was written on the way is deleted."""
